@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, packing, quality_rules, secrets, url_filter
+from . import bpe, packing, quality_rules, secrets, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_bpe": bpe.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_simhash": simhash.query,
+    "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_secret_scan": secrets.query,
 }
