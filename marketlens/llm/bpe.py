@@ -17,6 +17,7 @@ repeated rows get equal results; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from heapq import heappop, heappush
 
@@ -25,10 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Pieces and words kept by a Python worker; beyond that the cache starts anew.
-CACHE = 400_000
+#: Pieces, and words, kept by a Python worker; beyond that only those of the last block stay.
+CACHE = 500_000
 #: Characters of a block of documents.
-BLOCK = 16_000_000
+BLOCK = 12_000_000
 UNSAFE = regex.compile(r"\s \s|\s $")
 
 
@@ -150,57 +151,55 @@ class Encoder:
         self.text = [f" {i}" for i in range(len(self.replay.tokens))]
         self.find = regex.compile(pattern).findall
         self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.first: dict[str, tuple[int, str, bytes]] = {}  # by the piece that begins a text
-        self.later: dict[str, tuple[int, str, bytes]] = {}  # by what follows a space
+        self.known: dict[str, tuple[int, str, bytes]] = {}  # by what follows a space
 
     def learn(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
         """What pieces give; their words go to the cache."""
         find = self.find
         split = [find(p) for p in pieces]
         words = self.words
-        new = list(set().union(*split).difference(words))
-        if len(words) + len(new) > CACHE:
-            words = self.words = {}
-            new = list(set().union(*split))
+        distinct = set().union(*split)
+        new = list(distinct.difference(words))
         text, token = self.text.__getitem__, self.replay.tokens.__getitem__
         for word, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
             words[word] = (len(ids), "".join(map(text, ids)), b"".join(map(token, ids)))
         out = []
         for ws in split:
+            if len(ws) == 2:
+                (n, t, d), (m, u, e) = words[ws[0]], words[ws[1]]
+                out.append((n + m, t + u, d + e))
+                continue
             got = words[ws[0]] if ws else (0, "", b"")
             for w in ws[1:]:
                 n, t, d = words[w]
                 got = (got[0] + n, got[1] + t, got[2] + d)
             out.append(got)
+        if len(words) > CACHE:
+            self.words = {w: words[w] for w in distinct}
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by one space, decoded bytes) of each text."""
         out = []
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and tuples, no cycles
         for block in blocks(texts):  # the distinct new words of a block are encoded together
-            first, later, split = set(), set(), []
-            for t in block:
-                if UNSAFE.search(t):
-                    split.append([t])
-                    first.add(t)
-                else:
-                    pieces = t.split(" ")
-                    split.append(pieces)
-                    first.add(pieces[0])
-                    later.update(pieces[1:])
-            for known, pieces, lead in ((self.first, first, ""), (self.later, later, " ")):
-                new = list(pieces.difference(known))
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(pieces)
-                known.update(zip(new, self.learn([lead + p for p in new]), strict=True))
-            get = self.later.__getitem__
+            split = [[t] if UNSAFE.search(t) else t.split(" ") for t in block]
+            heads = self.learn([pieces[0] for pieces in split])
             for pieces in split:
-                parts = [self.first[pieces[0]], *map(get, pieces[1:])]
-                n, ids, decoded = zip(*parts, strict=True)
+                del pieces[0]
+            known = self.known
+            distinct = set().union(*split)
+            new = list(distinct.difference(known))
+            known.update(zip(new, self.learn([" " + p for p in new]), strict=True))
+            get = known.__getitem__
+            for head, pieces in zip(heads, split, strict=True):
+                n, ids, decoded = zip(head, *map(get, pieces), strict=True)
                 out.append((sum(n), "".join(ids)[1:], b"".join(decoded)))
-            if any(len(k) > CACHE for k in (self.first, self.later)):
-                self.first.clear(), self.later.clear()
+            if len(known) > CACHE:
+                self.known = {p: known[p] for p in distinct}
+        if collecting:
+            gc.enable()
         return out
 
 
