@@ -16,8 +16,11 @@ repeated rows are pieces of their own; other columns are ignored; an empty table
 
 from __future__ import annotations
 
+import gc
+import os
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -26,9 +29,9 @@ from .common import cut
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of text kept by a Python worker; beyond that the cache starts anew.
-CACHE = 600_000
-BLOCK = 16_000_000
+#: Pieces of text kept by a Python worker; beyond that only those of the last block stay.
+CACHE = 1_200_000
+BLOCK = 12_000_000
 GROUP_ROWS = 100_000
 
 
@@ -36,53 +39,70 @@ class Ids:
     """Little-endian unsigned 32-bit ids of whole texts, by the tokenizers library.
 
     Its pre-tokeniser never joins characters over a space that does not stand between white space, so a text is cut
-    before such spaces, the library encodes each distinct piece once, and a text's ids are those of its pieces.
+    before such spaces, the library encodes each distinct piece once, and a text's ids are those of its pieces. New
+    pieces are encoded in long runs and told apart by the bytes their ids stand for.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.unsafe = regex.compile(r"\s \s|\s $")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
-
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a character of the byte alphabet is a byte
+        self.known: dict[str, bytes] = {}  # by what follows a space
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of " " + piece for each piece."""
+        plain = [p for p in pieces if p and p.isprintable()]  # no white space in them: a piece has no spaces
+        other = [p for p in pieces if not p or not p.isprintable()]
+        out = dict(zip(other, self.alone([" " + p for p in other]), strict=True))
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            text = " " + " ".join(part) + " "
+            ids = np.array(self.tokenizer.encode_batch_fast([text[:-1]], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)[1:]
+            stops = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")).tolist()
+            out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        block: list[list[str]] = []
+        block: list[str] = []
         size = 0
         for t in texts:
-            t = t or ""
-            block.append([t] if self.unsafe.search(t) else t.split(" "))
-            size += len(t)
+            block.append(t or "")
+            size += len(block[-1])
             if size > BLOCK:
                 out += self._block(block)
                 block, size = [], 0
         return out + self._block(block)
 
-    def _block(self, block: list[list[str]]) -> list[bytes]:
-        first, later = set(), set()
-        for pieces in block:
-            first.add(pieces[0])
-            later.update(pieces[1:])
-        for known, pieces, lead in ((self.first, first, ""), (self.later, later, " ")):
-            new = list(pieces.difference(known))
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(pieces)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                known.update(zip(part, self.learn([lead + p for p in part]), strict=True))
-        get = self.later.__getitem__
-        return [b"".join([self.first[pieces[0]], *map(get, pieces[1:])]) for pieces in block]
+    def _block(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings, no cycles
+        split = [[t] if self.unsafe.search(t) else t.split(" ") for t in texts]
+        heads = self.alone([pieces[0] for pieces in split])
+        for pieces in split:
+            del pieces[0]
+        known = self.known
+        distinct = set().union(*split)
+        known.update(self.learn(list(distinct.difference(known))))
+        get = known.__getitem__
+        out = [head + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
+        if len(known) > CACHE:
+            self.known = {p: known[p] for p in distinct}
+        if collecting:
+            gc.enable()
+        return out
 
 
 _tokenizers: dict[str, Ids] = {}
