@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -29,9 +30,28 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a folder of our own only where none is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write as Parquet to the shared folder and read again: smaller than a checkpoint where rows hold texts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def computed_filter(df: DataFrame, condition: str) -> DataFrame:
+    """A filter on computed columns that stays above their projection. Pushed below it, the condition would repeat the
+    expressions of its columns inside their own lambdas, once an element."""
+    return df.withColumn("_above", F.monotonically_increasing_id()).filter(f"({condition}) AND _above >= 0").drop("_above")

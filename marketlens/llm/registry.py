@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, packing, quality_rules, secrets, simhash, toxicity, url_filter
+from . import bpe, packing, quality_rules, secrets, simhash, topk, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_bpe": bpe.query,
+    "op5_topk": topk.query,
     "op6_quality_rules": quality_rules.query,
     "op7_simhash": simhash.query,
     "op8_toxicity": toxicity.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_url_filter": url_filter.ORACLE,
+    "op5_topk": topk.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
 }

@@ -247,6 +247,22 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of docs of which each component keeps one: that of its smallest doc_id (one of them, if rows repeat it).
+    Rows without a doc_id pass: no decision can name them."""
+    found = near_duplicates(docs.select("doc_id", "text"), max_bits)
+    ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")).filter("doc_id <> component_id OR n > 1"))
+    gone = ids.filter("doc_id <> component_id").select("doc_id")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = ids.filter("n > 1 AND doc_id = component_id").select("doc_id")
+    if again.limit(1).count():
+        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
