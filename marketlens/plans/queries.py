@@ -155,12 +155,12 @@ def _(spark, d):
     return survivors(spark, d).select("source_dataset", *S.JOIN_KEY, "grade", "min_price", "max_price", "modal_price", "arrivals_tonnes", "quality_flag")
 
 
-BOUNDS = "round(p25, 6) AS p25, round(p75, 6) AS p75, round(median, 6) AS median, n_valid, round(iqr, 6) AS iqr, bound_type, round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound"
+BOUNDS = "p25, p75, median, n_valid, iqr, bound_type, lower_bound, upper_bound"
 
 
 @query("outlier_bounds", f"SELECT commodity, {BOUNDS} FROM bounds")
 def _(spark, d):
-    return rounded(outliers.learn_bounds(flagged(spark, d)))
+    return outliers.learn_bounds(flagged(spark, d))
 
 
 @query("outlier_bounds_approx")
@@ -310,9 +310,9 @@ def _(spark, d):
     return profile.cardinality(market_report(spark, d))
 
 
-@query("valid_price_stats", "SELECT count(*) AS n_records, round(avg(modal_price), 2) AS avg_price, round(stddev_samp(modal_price), 2) AS stddev_price, round(min(modal_price), 6) AS min_price, round(max(modal_price), 6) AS max_price FROM valid")
+@query("valid_price_stats", "SELECT count(*) AS n_records, round(avg(modal_price), 2) AS avg_price, round(stddev_samp(modal_price), 2) AS stddev_price, min(modal_price) AS min_price, max(modal_price) AS max_price FROM valid")
 def _(spark, d):
-    return rounded(profile.valid_price_stats(flagged(spark, d)))
+    return profile.valid_price_stats(flagged(spark, d))
 
 
 @query("records_per_year", "SELECT year(arrival_date)::BIGINT AS year, count(*) AS n_records FROM market_report WHERE arrival_date IS NOT NULL GROUP BY 1")
@@ -329,23 +329,23 @@ def _(spark, d):
     return profile.yearly_statistics(market_report(spark, d))
 
 
-@query("price_statistics", "SELECT commodity, count(*) AS n_records, " + ", ".join(f"round(avg({c}), 4) AS avg_{c}, round(min({c}), 4) AS lowest_{c}, round(max({c}), 4) AS highest_{c}" for c in ("modal_price", "min_price", "max_price")) + " FROM market_report GROUP BY commodity")
+@query("price_statistics", "SELECT commodity, count(*) AS n_records, " + ", ".join(f"round(avg({c}), 4) AS avg_{c}, min({c}) AS lowest_{c}, max({c}) AS highest_{c}" for c in ("modal_price", "min_price", "max_price")) + " FROM market_report GROUP BY commodity")
 def _(spark, d):
-    return rounded(profile.price_statistics(market_report(spark, d)), 4)
+    return profile.price_statistics(market_report(spark, d))
 
 
-@query("price_quantiles", "SELECT source_dataset, " + ", ".join(f"round(quantile_disc(modal_price, {p}), 6) AS {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))) + " FROM valid GROUP BY source_dataset")
+@query("price_quantiles", "SELECT source_dataset, " + ", ".join(f"quantile_disc(modal_price, {p}) AS {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))) + " FROM valid GROUP BY source_dataset")
 def _(spark, d):
-    return rounded(profile.price_quantiles(flagged(spark, d)))
+    return profile.price_quantiles(flagged(spark, d))
 
 
 def _overlap_stats(c):
-    return f"round(quantile_disc({c}, 0.5), 6) AS median_{c}, round(avg({c}), 4) AS mean_{c}, round(min({c}), 6) AS min_{c}, round(max({c}), 6) AS max_{c}"
+    return f"quantile_disc({c}, 0.5) AS median_{c}, round(avg({c}), 4) AS mean_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}"
 
 
 @query("overlap_price_stats", f"SELECT count(*) AS n, {', '.join(map(_overlap_stats, ('price_1', 'price_2', 'ratio')))} FROM overlap")
 def _(spark, d):
-    return rounded(merge.overlap_price_stats(merge.overlap(survivors(spark, d))))
+    return merge.overlap_price_stats(merge.overlap(survivors(spark, d)))
 
 
 @query("price_ratio_buckets", "SELECT bucket, n, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS share_pct FROM (SELECT CASE WHEN ratio BETWEEN 0.8 AND 1.2 THEN '1x' WHEN ratio BETWEEN 8 AND 12 THEN '10x' WHEN ratio BETWEEN 80 AND 120 THEN '100x' WHEN ratio BETWEEN 800 AND 1200 THEN '1000x' ELSE 'Other' END AS bucket, count(*) AS n FROM overlap GROUP BY 1)")
@@ -380,9 +380,9 @@ def _(spark, d):
     return rounded(synth.price_model(flagged(spark, d)))
 
 
-@query("seasonal_factors", "SELECT commodity, month, round(seasonal_factor, 6) AS seasonal_factor, n_obs FROM seasonal")
+@query("seasonal_factors", "SELECT commodity, month, seasonal_factor, n_obs FROM seasonal")
 def _(spark, d):
-    return rounded(synth.seasonal_factors(flagged(spark, d)))
+    return synth.seasonal_factors(flagged(spark, d))
 
 
 @query("arrivals_model", "SELECT commodity, round(arr_log_mu, 6) AS arr_log_mu, round(arr_log_sigma, 6) AS arr_log_sigma, n_obs FROM arrivals")
