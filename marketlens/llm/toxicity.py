@@ -3,7 +3,7 @@
 Fit: tokens of labelled documents (words in ASCII lower case without outer punctuation, and the beginnings of words)
 get the log-odds of standing in a toxic
 rather than a clean document, under a Dirichlet prior worth PRIOR_SHARE of the training documents (PRIOR_LEAST at least), spread as the
-words are in all of them; tokens whose log-odds are Z standard deviations above zero score their lower bound; a word scores its highest
+words are in all of them; tokens whose log-odds are Z standard deviations above zero score their lower bound, if that is LEAST_SCORE or more; a word scores its highest
 token, and -DRIFT without one. Near copies (equal three-fold minimum hash of their words) train once.
 
 Score: Ruzzo and Tompa's linear scan finds all maximal scoring segments of a whole text. Segment scores of clean texts
@@ -25,23 +25,26 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import importable
+from .common import importable, slices
 
 MAX_TRAIN, MAX_TERMS = 200_000, 200_000
 PRIOR_SHARE, PRIOR_LEAST, Z, DRIFT = 0.1, 5.0, 4.0, 1.0
 SIGNIFICANT = 0.01
+#: Least score of a token: what is only a little commoner in toxic texts, like a language's articles, says nothing.
+LEAST_SCORE = 1.0
 #: Segments whose scores are summed at most.
 SUMMED = 12
 FOLDS = 5
 #: Bytes of the beginnings of words that are tokens of their own.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Words whose scores a Python worker keeps.
-CACHE = 500_000
+CACHE = 100_000
 STRIP = b".,;:!?\"'()[]{}<>*%&#$|"
 
 
@@ -82,6 +85,18 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
     return [(r - le, a, b) for le, r, a, b, _ in found]
 
 
+class Known(dict):
+    """The highest score of a word's tokens, 0 if none has one, by the word as it stands in the text."""
+
+    def __init__(self, scores: dict[bytes, float]):
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, word: bytes) -> float:
+        got = self[word] = max(self.scores.get(t, 0.0) for t in tokens_of(word.strip(STRIP) or word))
+        return got
+
+
 @dataclass
 class Model:
     scores: dict[bytes, float] = field(default_factory=dict)
@@ -90,20 +105,13 @@ class Model:
     weight: float = 0.0
     bias: float = 0.0
 
-    known: dict[bytes, float] = field(default_factory=dict, repr=False, compare=False)
-
-    def word_score(self, word: bytes) -> float:
-        """The highest score of the word's tokens, 0 if none has one."""
-        got = max((self.scores.get(t, 0.0) for t in tokens_of(word)), default=0.0)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.known[word] = got
-        return got
+    known: Known | None = field(default=None, repr=False, compare=False)
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
-        words = words_of(text)
-        get, of = self.known.get, self.word_score
-        hits = [(i, s) for i, w in enumerate(words) if (s := get(w) if w in self.known else of(w))] if self.scores else []
+        if self.known is None or len(self.known) > CACHE:
+            self.known = Known(self.scores)
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        hits = [(i, s) for i, s in enumerate(map(self.known.__getitem__, words)) if s] if self.scores else []
         return len(words), segments(hits)
 
     def expected(self, score: float, n: int) -> float:
@@ -113,7 +121,7 @@ class Model:
     def evidence(self, n: int, found) -> float:
         """-log of the chance that a clean text of n words has segments as high as these, by the sum statistic of its r
         highest normalised scores, for the best r up to SUMMED; 0 without a segment."""
-        base = math.log(self.scale * max(n, 1))
+        base = max(0.0, math.log(self.scale * max(n, 1)))
         best = total = 0.0
         for r, score in enumerate(sorted((s for s, _, _ in found), reverse=True)[:SUMMED], 1):
             total += self.rate * score - base
@@ -142,20 +150,19 @@ def _train_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int)
 
 def _sketch(batches):
     """(doc_id, y, sketch): three minima of hashes of a document's words."""
-    import xxhash
-
     odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
     for b in batches:
         out = []
         for t in b.column(1).to_pylist():
-            h = np.array([xxhash.xxh64_intdigest(w) for w in set(words_of(t))] or [0], np.uint64)
-            out.append(hash(tuple((h * m >> np.uint64(1)).min().item() for m in odd)))
+            h = np.array(list(map(crc32, set((t or "").encode("utf-8", "surrogatepass").lower().split()))) or [0], np.uint64)
+            x, y, z = ((h * m >> np.uint64(22)).min().item() for m in odd)
+            out.append(x << 21 ^ y << 10 ^ z)  # minima of 42 bits are small: few collide
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.int64())], ["doc_id", "y", "sketch"])
 
 
 def _count(batches):
-    """(word, toxic, clean): documents that hold a token, summed over a batch; the empty token counts documents."""
-    for b in batches:
+    """(word, toxic, clean): documents that hold a token, summed over some rows; the empty token counts documents."""
+    for b in slices(batches, 1000):
         toxic, clean = Counter(), Counter()
         for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             (toxic if y else clean).update({b"", *(x for w in set(words_of(t)) for x in tokens_of(w))})
@@ -163,18 +170,26 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["word", "toxic", "clean"])
 
 
-def _evidence(shared, of: str):
-    """Per training document its number of words, best segment and evidence."""
+def _segments(shared):
+    """Per training document its label, number of words and highest segment scores."""
 
     def run(batches):
         model = shared.value
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                n, found = model.passages(t)
-                rows.append((n, max(found)[0] if found else 0.0, model.evidence(n, found)))
-            n, best, x = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(x, pa.float64())], ["y", "n", "best", "x"])
+            rows = [model.passages(t) for t in b.column(1).to_pylist()]
+            best = [sorted((s for s, _, _ in found), reverse=True)[:SUMMED] for _, found in rows]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([n for n, _ in rows], pa.int64()), pa.array(best, pa.list_(pa.float64()))], ["y", "n", "best"])
+
+    return run
+
+
+def _evidence(model: Model):
+    """Over what _segments gives: label and evidence."""
+
+    def run(batches):
+        for b in batches:
+            x = [model.evidence(n, [(s, 0, 0) for s in best]) for n, best in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.float64())], ["y", "x"])
 
     return run
 
@@ -225,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     odds = F.log(a / (F.lit(n_t + strength) - a)) - F.log(b / (F.lit(n_c + strength) - b))
     sd = F.sqrt(1 / a + 1 / b)
     terms = counts.filter((F.col("word") != F.lit(b"")) & (F.col("t") >= 2)).filter((a < n_t + strength) & (b < n_c + strength))
-    terms = terms.select("word", "c", odds.alias("odds"), sd.alias("sd"), b.alias("b")).filter(F.col("odds") > Z * F.col("sd"))
+    terms = terms.select("word", "c", odds.alias("odds"), sd.alias("sd"), b.alias("b")).filter((F.col("odds") > Z * F.col("sd")) & (F.col("odds") - F.col("sd") >= LEAST_SCORE))
     got = terms.orderBy(F.desc(F.col("odds") / F.col("sd")), "word").limit(max_terms).collect()
     if not got:
         return model
@@ -238,15 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     p = np.minimum(p, 0.5 / len(p))
     model.rate = _positive_root(np.append(s, -DRIFT), np.append(p, 1 - p.sum()))
     shared = spark.sparkContext.broadcast(model)
-    seen = train.mapInArrow(_evidence(shared, label), "y int, n long, best double, x double")
+    seen = train.mapInArrow(_segments(shared), "y int, n long, best array<double>").persist()  # at most max_train rows of SUMMED numbers
     # K from the mean of n * exp(-lambda * best) over clean documents with a segment: E[K n e^(-lambda max)] = 1 under the law.
-    k = seen.filter("y = 0 AND best > 0").select(F.avg(F.col("n") * F.exp(-model.rate * F.col("best")))).collect()[0][0]
+    k = seen.filter("y = 0 AND size(best) > 0").select(F.avg(F.col("n") * F.exp(-model.rate * F.col("best")[0]))).collect()[0][0]
     model.scale = 1 / k if k else 1.0
-    shared.destroy()
-    shared = spark.sparkContext.broadcast(model)
-    seen = train.mapInArrow(_evidence(shared, label), "y int, n long, best double, x double")
-    bins = seen.groupBy(F.round("x", 2).alias("x"), "y").agg(F.count("*").alias("n")).collect()  # at most 20,001 values of x
-    shared.destroy()
+    weights = Model(rate=model.rate, scale=model.scale)
+    bins = seen.mapInArrow(_evidence(weights), "y int, x double").groupBy(F.round("x", 2).alias("x"), "y").agg(F.count("*").alias("n")).collect()  # at most 20,001 values of x
     model.weight, model.bias = logistic(*(np.array([float(r[c]) for r in bins]) for c in ("x", "y", "n")))
     return model
 
