@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, packing, quality_rules, secrets, simhash, topk, toxicity, url_filter
+from . import bpe, cotrain, html_extract, packing, quality_rules, secrets, simhash, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_cotraining": cotrain.query,
+    "op2_html_extract": html_extract.query,
     "op3_url_filter": url_filter.query,
     "op4_bpe": bpe.query,
     "op5_topk": topk.query,
