@@ -49,7 +49,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000, keep=False)  # memory is left by earlier stages
 
 
 STAGES = [("quality", quality), ("toxicity", toxic), ("near_dups", near_dups), ("secrets", secret), ("pack", pack)]

@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 #: Pieces, and words, kept by a Python worker; beyond that only those of the last block stay.
 CACHE = 500_000
 #: Characters of a block of documents.
@@ -232,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
 
     def run(batches):
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in slices(batches, 4000):
             n, ids_sha, decoded_sha, own = [], [], [], []
             for count, joined, decoded in enc.encode(b.column(1).to_pylist()):
                 n.append(count)

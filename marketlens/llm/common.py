@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -55,3 +57,19 @@ def computed_filter(df: DataFrame, condition: str) -> DataFrame:
     """A filter on computed columns that stays above their projection. Pushed below it, the condition would repeat the
     expressions of its columns inside their own lambdas, once an element."""
     return df.withColumn("_above", F.monotonically_increasing_id()).filter(f"({condition}) AND _above >= 0").drop("_above")
+
+
+def slices(batches, rows: int):
+    """Arrow batches in parts of so many rows, so that what Python makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system, for the tasks that follow in it."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

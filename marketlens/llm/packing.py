@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import os
+import string
 import zlib
 
 import numpy as np
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, give_back, slices
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of text kept by a Python worker; beyond that only those of the last block stay.
 CACHE = 1_200_000
 BLOCK = 12_000_000
+MARKS = string.punctuation
 GROUP_ROWS = 100_000
 
 
@@ -55,25 +57,47 @@ class Ids:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character of the byte alphabet is a byte
+        self.cache = CACHE
         self.known: dict[str, bytes] = {}  # by what follows a space
+        self.lines: dict[str, bytes] = {}  # by what follows a line feed
+        self.tails: dict[str, bytes] = {}  # by the marks that end a word
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of " " + piece for each piece."""
+    def learn(self, pieces: list[str], lead: str = " ") -> dict[str, bytes]:
+        """Ids of lead + piece (a space or a line feed) for each piece."""
         plain = [p for p in pieces if p and p.isprintable()]  # no white space in them: a piece has no spaces
         other = [p for p in pieces if not p or not p.isprintable()]
-        out = dict(zip(other, self.alone([" " + p for p in other]), strict=True))
+        out = dict(zip(other, self.alone([lead + p for p in other]), strict=True))
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            text = " " + " ".join(part) + " "
+            text = lead + lead.join(part) + lead
             ids = np.array(self.tokenizer.encode_batch_fast([text[:-1]], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)[1:]
+            ends = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(lead))[1:]
             stops = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")).tolist()
             out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
         return out
 
+    def know(self, new: set[str]) -> None:
+        """Put new pieces in the cache. A piece of lines, or of letters and marks, is joined from its parts: a single
+        line feed between other characters, letters, and marks are matches of their own in the pre-tokeniser."""
+        known, lines, tails = self.known, self.lines, self.tails
+        lined = [(p, x) for p in new if "\n" in p and (x := p.split("\n")) and all(x) and all(map(str.isprintable, x))]
+        new.difference_update(p for p, _ in lined)
+        new.update(x[0] for _, x in lined if x[0] not in known)
+        marked = [(p, x, p[len(x) :]) for p in new if not p.isalpha() and (x := p.rstrip(MARKS)) != p and x.isalpha()]
+        new.difference_update(p for p, _, _ in marked)
+        new.update(x for _, x, _ in marked if x not in known)
+        known.update(self.learn(list(new)))
+        unseen = list({m for _, _, m in marked}.difference(tails))
+        tails.update(zip(unseen, self.alone(unseen), strict=True))
+        for p, word, mark in marked:
+            known[p] = known[word] + tails[mark]
+        lines.update(self.learn(list({q for _, x in lined for q in x[1:]}.difference(lines)), "\n"))
+        for p, x in lined:
+            known[p] = known[x[0]] + b"".join([lines[q] for q in x[1:]])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         block: list[str] = []
@@ -95,11 +119,12 @@ class Ids:
             del pieces[0]
         known = self.known
         distinct = set().union(*split)
-        known.update(self.learn(list(distinct.difference(known))))
+        self.know(distinct.difference(known))
         get = known.__getitem__
         out = [head + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
-        if len(known) > CACHE:
+        if len(known) + len(self.lines) + len(self.tails) > self.cache:
             self.known = {p: known[p] for p in distinct}
+            self.lines, self.tails = {}, {}
         if collecting:
             gc.enable()
         return out
@@ -115,14 +140,19 @@ def ids_by(path: str) -> Ids:
     return _tokenizers[path]
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece of docs (doc_id, text)."""
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int = CACHE, keep: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece of docs (doc_id, text).
+
+    cache: pieces of text that a Python worker holds; a smaller one needs less memory and more time. keep: whether the
+    worker holds them for its next tasks."""
+    rows = 4000 if keep else 1000
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
         ids = ids_by(path)
-        for b in batches:
-            rows: list[tuple] = []
+        ids.cache = cache
+        for b in slices(batches, rows):
+            out: list[tuple] = []
             for doc, own in zip(b.column(0).to_pylist(), ids.encode(b.column(1).to_pylist()), strict=True):
                 own += end
                 n = len(own) // 4
@@ -130,11 +160,14 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 stop = n % capacity or capacity
                 k = 0
                 while start < n:
-                    rows.append((doc, k, start, stop - start, zlib.crc32(own[4 * start : 4 * stop])))
+                    out.append((doc, k, start, stop - start, zlib.crc32(own[4 * start : 4 * stop])))
                     start, stop, k = stop, stop + capacity, k + 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep:
+            _tokenizers.clear()
+            give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -215,11 +248,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int = CACHE, keep: bool = True, **options) -> DataFrame:
     from .common import importable
 
     importable(docs.sparkSession)
-    return pack(cut(pieces_of(docs, path, capacity, end_id)), capacity, **options)
+    return pack(cut(pieces_of(docs, path, capacity, end_id, cache, keep)), capacity, **options)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

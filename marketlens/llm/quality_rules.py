@@ -90,9 +90,12 @@ def _with_removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     A small set of frequent lines goes to every task as one array a host (its size was counted). Beyond that the lines
     of each document are joined with it, a frequent line salted over SALTS keys.
     """
-    if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    few = frequent.select("host", "line").limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        frequent = docs.sparkSession.createDataFrame(few, "host string, line long")
         by_host = frequent.groupBy("host").agg(F.collect_list("line").alias("_bad")).withColumnRenamed("host", "_host")
         return docs.join(F.broadcast(by_host), docs["source"].eqNullSafe(by_host["_host"]), "left").drop("_host")
+    frequent = cut(frequent)
     docs = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
     keys = F.array_distinct(F.transform(lines_of(F.coalesce(F.col("text"), F.lit(""))), line_key))
     lines = docs.select("_row", F.coalesce("source", F.lit("\0")).alias("host"), F.explode(keys).alias("line"))
@@ -107,7 +110,7 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN
     source, lang where given, and the text without frequent lines."""
     own = [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
     docs = docs.select(*own)
-    d = _with_removed(docs, cut(frequent_lines(docs, max_docs)))
+    d = _with_removed(docs, frequent_lines(docs, max_docs))
     d = base_statistics(d)
     gone = F.filter("_l", lambda x: F.array_contains("_bad", line_key(x)))
     gone = F.when(F.col("_bad").isNull() | F.col("base_failed"), F.array().cast("array<string>")).otherwise(gone)

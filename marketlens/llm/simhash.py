@@ -30,6 +30,8 @@ from .common import cut, importable
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: Edges of a checkpoint file between rounds.
+EDGES_PER_FILE = 250_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 
 
@@ -220,6 +222,7 @@ def _salted(edges: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): each linked node with the smallest node of its component."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    n = edges.count()
     for _ in range(max_rounds):
         # Large star: neighbours above a node go to its smallest neighbour (or to itself).
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -228,8 +231,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: neighbours below a node, and the node, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _salted(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        same = new.count() == edges.count() and not new.join(edges, ["u", "v"], "left_anti").limit(1).count()
+        new = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        new = cut(new.coalesce(1 + n // EDGES_PER_FILE))  # rounds never add edges
+        before, n = n, new.count()
+        same = n == before and not new.join(edges, ["u", "v"], "left_anti").limit(1).count()
         edges = new
         if same:
             return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
