@@ -37,8 +37,9 @@ ALLOW = (
     r"^[a-z]+([/_-][a-z]+)*$",
     r"^(.)\1*$",
 )
-#: table[c] = c * log2(c), scaled and rounded: the entropy of a window is log2(W) - sum(table[c]) / (SCALE * W).
-TABLE = [0, *(round(SCALE * c * math.log2(c)) for c in range(1, WINDOW + 1))]
+#: table[c] = c * log2(c), scaled and rounded: the entropy of a window is log2(W) - sum(table[c]) / (SCALE * W). One entry
+#: more than the window, as a character enters before another leaves.
+TABLE = [0, *(round(SCALE * c * math.log2(c)) for c in range(1, WINDOW + 2))]
 
 
 def _most(bits: float) -> int:
@@ -127,18 +128,17 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span replaced by a mark; overlapping spans are replaced as one."""
-    names = docs.columns
-    d = scan(docs, text)
+    d = scan(docs.select(F.struct(*docs.columns).alias("_in"), F.col(text).cast("string").alias("_x")), "_x")
     merged = F.expr(
         "aggregate(_all, cast(array() AS array<struct<s: int, e: int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).e >= x.s "
         "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))) "
         "ELSE concat(a, array(named_struct('s', x.s, 'e', x.e))) END)"
     )
     d = d.withColumn("_m", merged)
-    piece = f"substring(`{text}`, (CASE WHEN k = 0 THEN 0 ELSE get(_m, k - 1).e END) + 1, x.s - (CASE WHEN k = 0 THEN 0 ELSE get(_m, k - 1).e END))"
-    body = f"array_join(transform(_m, (x, k) -> concat({piece}, '{mark}')), '')"
-    new = F.expr(f"CASE WHEN size(_m) = 0 THEN `{text}` ELSE concat({body}, substring(`{text}`, element_at(_m, -1).e + 1)) END")
-    return d.withColumn(text, new).select(*names)
+    before = "(CASE WHEN k = 0 THEN 0 ELSE get(_m, k - 1).e END)"
+    body = f"array_join(transform(_m, (x, k) -> concat(substring(_x, {before} + 1, x.s - {before}), '{mark}')), '')"
+    new = F.expr(f"CASE WHEN size(_m) = 0 THEN _x ELSE concat({body}, substring(_x, element_at(_m, -1).e + 1)) END")
+    return d.select(*(new.alias(c) if c == text else F.col(f"_in.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
