@@ -100,7 +100,7 @@ def _with_removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.transform(lines_of(F.coalesce(F.col("text"), F.lit(""))), line_key))
     lines = docs.select("_row", F.coalesce("source", F.lit("\0")).alias("host"), F.explode(keys).alias("line"))
     lines = lines.withColumn("salt", F.pmod("_row", F.lit(SALTS)))
-    salted = frequent.select(F.coalesce("host", F.lit("\0")).alias("host"), "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    salted = frequent.select(F.coalesce("host", F.lit("\0")).alias("host"), "line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     bad = lines.join(salted, ["host", "line", "salt"], "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_bad"))
     return docs.join(bad, "_row", "left").drop("_row")
 

@@ -220,7 +220,7 @@ def _salted(edges: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): each linked node with the smallest node of its component."""
+    """(node, root): each linked node but the smallest of its component, which is its root."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     n = edges.count()
     for _ in range(max_rounds):

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import importable, slices
+from .common import give_back, importable, slices
 
 MAX_TRAIN, MAX_TERMS = 200_000, 200_000
 PRIOR_SHARE, PRIOR_LEAST, Z, DRIFT = 0.1, 5.0, 4.0, 1.0
@@ -168,6 +168,8 @@ def _count(batches):
             (toxic if y else clean).update({b"", *(x for w in set(words_of(t)) for x in tokens_of(w))})
         words = list(toxic | clean)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["word", "toxic", "clean"])
+    toxic = clean = words = None
+    give_back()
 
 
 def _segments(shared):
