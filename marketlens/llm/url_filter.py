@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, cut, table
 
 #: (host, path, verdict), the rules of the query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -38,7 +38,7 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column, labels: int = LABELS) -> Column:
-    return F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), 1, labels)), 1, labels), ".")
+    return F.array_join(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), 1, labels)), ".")
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -111,7 +111,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, labels: int =
     pages = pages.drop("host", "path", "rule", "verdict")
     d = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    universe = d.select(domain_of(F.col("host"), labels).alias("key")).distinct()
+    universe = cut(d.select(domain_of(F.col("host"), labels).alias("key")).distinct())  # each level reads it
     n_listed = listed.count()
     parts = max(1, -(-n_listed * BITS_PER_KEY // (8 * MAX_BYTES)))
     part = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
