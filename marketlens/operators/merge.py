@@ -16,28 +16,24 @@ def source(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("source_dataset") == name)
 
 
-def unique_by(df: DataFrame, key: list[str] = S.JOIN_KEY) -> DataFrame:
-    """One row a key, the smallest by price and grade: the same on every run."""
-    from .quality import dedup_survivors
-
-    return dedup_survivors(df, key)
-
-
 def canonical_merge(deduplicated: DataFrame) -> DataFrame:
     """Valid rows of both sources; source 1 wins where both have a key and takes source 2's arrivals if it has none.
-    Keys join by equality, so a null key part never matches; `duplicate_keys` shows what that leaves double."""
+
+    One full outer join of two sides that the survivors' key has made unique: each row is shuffled once. Keys join by
+    equality, so a null key part never matches; `duplicate_keys` shows what that leaves double."""
     valid = deduplicated.filter(is_valid())
-    one, two = unique_by(source(valid, S.DAILY)), unique_by(source(valid, S.MANDI))
-    extra = two.select(*S.JOIN_KEY, F.col("arrivals_tonnes").alias("_arrivals"), F.lit(True).alias("_match"))
-    merged = one.join(extra, S.JOIN_KEY, "left")
-    merged = (
-        merged.withColumn("arrivals_tonnes", F.coalesce("arrivals_tonnes", "_arrivals"))
-        .withColumn("price_source_dataset", F.lit(S.DAILY))
-        .withColumn("arrivals_source_dataset", F.when(F.col("_match"), S.MANDI).otherwise(S.DAILY))
-        .drop("_arrivals", "_match")
-    )
-    only = source2_only(one, two).withColumn("price_source_dataset", F.lit(S.MANDI)).withColumn("arrivals_source_dataset", F.lit(S.MANDI))
-    return merged.unionByName(only, allowMissingColumns=True)
+    one = source(valid, S.DAILY).withColumn("_one", F.lit(True))
+    two = source(valid, S.MANDI)
+    two = two.select(*(F.col(c).alias(f"_{c}") for c in two.columns), F.lit(True).alias("_two"))
+    same = F.lit(True)
+    for c in S.JOIN_KEY:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    won = F.col("_one").isNotNull()
+    columns = {c: F.when(won, F.col(c)).otherwise(F.col(f"_{c}")) for c in deduplicated.columns}
+    columns["arrivals_tonnes"] = F.coalesce("arrivals_tonnes", "_arrivals_tonnes")
+    columns["price_source_dataset"] = F.when(won, S.DAILY).otherwise(S.MANDI)
+    columns["arrivals_source_dataset"] = F.when(F.col("_two"), S.MANDI).otherwise(S.DAILY)
+    return one.join(two, same, "full_outer").select(*(v.alias(c) for c, v in columns.items()))
 
 
 def source2_only(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -62,8 +58,8 @@ def require_unique(canonical: DataFrame) -> None:
 def overlap(deduplicated: DataFrame) -> DataFrame:
     """Keys in both sources with both prices and their ratio (null if source 1's price is zero)."""
     valid = deduplicated.filter(is_valid())
-    one = unique_by(source(valid, S.DAILY)).select(*S.JOIN_KEY, F.col("modal_price").alias("price_1"), F.col("arrivals_tonnes").alias("arrivals_1"))
-    two = unique_by(source(valid, S.MANDI)).select(*S.JOIN_KEY, F.col("modal_price").alias("price_2"), F.col("arrivals_tonnes").alias("arrivals_2"))
+    one = source(valid, S.DAILY).select(*S.JOIN_KEY, F.col("modal_price").alias("price_1"), F.col("arrivals_tonnes").alias("arrivals_1"))
+    two = source(valid, S.MANDI).select(*S.JOIN_KEY, F.col("modal_price").alias("price_2"), F.col("arrivals_tonnes").alias("arrivals_2"))
     return one.join(two, S.JOIN_KEY).withColumn("ratio", F.when(F.col("price_1") != 0, F.col("price_2") / F.col("price_1")))
 
 
