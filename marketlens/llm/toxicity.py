@@ -1,16 +1,17 @@
 """Toxicity (operator 8): maximum-scoring segment search over token log-odds.
 
 Fit: tokens of labelled documents (words in ASCII lower case without outer punctuation, and the beginnings of words)
-get the log-odds of standing in a toxic
-rather than a clean document, under a Dirichlet prior worth PRIOR_SHARE of the training documents (PRIOR_LEAST at least), spread as the
-words are in all of them; tokens whose log-odds are Z standard deviations above zero score their lower bound, if that is LEAST_SCORE or more; a word scores its highest
-token, and -DRIFT without one. Near copies (equal three-fold minimum hash of their words) train once.
+get the log-odds of standing in a toxic rather than a clean document, under a Dirichlet prior worth PRIOR_SHARE of the
+training documents (PRIOR_LEAST at least), spread as the tokens are in all of them. Tokens whose log-odds are Z standard
+deviations above zero score their lower bound, if that is LEAST_SCORE or more; a word scores its highest token, and
+-DRIFT without one. Near copies (equal three-fold minimum hash of their words) train once.
 
 Score: Ruzzo and Tompa's linear scan finds all maximal scoring segments of a whole text. Segment scores of clean texts
 follow an extreme-value law, P(max > x) = 1 - exp(-K n exp(-lambda x)); lambda solves E[exp(lambda s)] = 1 for the word
 scores of clean training documents, and K is fitted to their maxima. Segments with an expected count below
 SIGNIFICANT are the toxic passages; a document's evidence is -log of the p-value of the
-sum of its highest segment scores (for the best number of them), turned into a probability by a logistic fit on the training documents.
+sum of its highest segment scores (for the best number of them), turned into a probability by a logistic fit on the
+training documents.
 
 At most MAX_TRAIN labelled rows are used (an even sample by hash beyond that) and at most MAX_TERMS words kept, the
 most certain first; both are model parameters. Every document is scored, over its whole text.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -44,7 +46,7 @@ FOLDS = 5
 #: Bytes of the beginnings of words that are tokens of their own.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Words whose scores a Python worker keeps.
-CACHE = 100_000
+CACHE = 250_000
 STRIP = b".,;:!?\"'()[]{}<>*%&#$|"
 
 
@@ -181,6 +183,8 @@ def _segments(shared):
             rows = [model.passages(t) for t in b.column(1).to_pylist()]
             best = [sorted((s for s, _, _ in found), reverse=True)[:SUMMED] for _, found in rows]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([n for n, _ in rows], pa.int64()), pa.array(best, pa.list_(pa.float64()))], ["y", "n", "best"])
+        model.known = rows = best = None
+        give_back()
 
     return run
 
@@ -271,14 +275,17 @@ def score_column(spark, model: Model, text: str = "text") -> Column:
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
 
     @F.arrow_udf("struct<score: double, passages: array<struct<first: int, end: int, score: double>>>")
-    def score(texts: pa.Array) -> pa.Array:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        out = []
-        for t in texts.to_pylist():
-            n, found = model.passages(t)
-            sure = [{"first": a, "end": b, "score": s} for s, a, b in found if model.expected(s, n) < SIGNIFICANT]
-            out.append({"score": model.probability(model.evidence(n, found)), "passages": sure})
-        return pa.array(out, kind)
+        for texts in batches:
+            out = []
+            for t in texts.to_pylist():
+                n, found = model.passages(t)
+                sure = [{"first": a, "end": b, "score": s} for s, a, b in found if model.expected(s, n) < SIGNIFICANT]
+                out.append({"score": model.probability(model.evidence(n, found)), "passages": sure})
+            yield pa.array(out, kind)
+        model.known = out = None
+        give_back()
 
     return score(F.col(text).cast("string"))
 
