@@ -2,9 +2,9 @@
 
 Native: DataFrame functions only. A document's host is its `source`. Lines are normalised (ASCII lower case, runs of
 white space to one space, trimmed) and hashed; a line is frequent in a host if more than `max_docs` distinct documents
-of the host hold it. Documents are told apart by the smallest hash of their lines, so exact copies, and mostly near
-copies too, count once and a group of copies does not make its own lines look like boilerplate. Frequent lines are
-removed; a document is depleted if less than `min_left` percent of its words remain.
+of the host hold it. Documents are told apart by a hash of the whole sorted set of their lines, so exact copies count
+once and a group of them does not make its own lines look like boilerplate; documents that differ in a line count each.
+Frequent lines are removed; a document is depleted if less than `min_left` percent of its words remain.
 
 Defined results: a null text counts as empty; an empty one has no words and fails the base rules; a null source is a
 host of its own; repeated rows get equal results; other columns of the input are ignored.
@@ -78,8 +78,8 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, line): the lines that more than max_docs distinct documents of a host hold."""
     keys = F.array_distinct(F.transform(lines_of(F.coalesce(F.col("text"), F.lit(""))), line_key))
-    rows = docs.select(F.col("source").alias("host"), keys.alias("keys"))
-    rows = rows.select("host", F.array_min("keys").alias("doc"), F.explode("keys").alias("line"))
+    rows = docs.select(F.col("source").alias("host"), F.array_sort(keys).alias("keys"))
+    rows = rows.select("host", F.xxhash64("keys").alias("doc"), F.explode("keys").alias("line"))
     once = rows.groupBy("host", "line", "doc").agg(F.lit(1).alias("one"))
     return once.groupBy("host", "line").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > max_docs)
 

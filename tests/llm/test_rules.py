@@ -64,6 +64,28 @@ def test_repeated_rows_are_not_counted_twice(spark, monkeypatch):
     assert got == [100, 100, 100]
 
 
+def test_documents_that_share_their_smallest_line_count_each(spark, monkeypatch):
+    """Pages of shared lines and a few of their own, which pass the base rules: the shared lines go, and the pages with them."""
+    shared = [" ".join(f"s{k}t{j}" for j in range(10)) for k in range(40)]
+    docs = [(i, "\n".join([*shared, " ".join(f"own{i}w{j}" for j in range(10))]), "hot") for i in range(30)]  # depleted: 10 of 410 words are left
+    docs += [(100 + i, "\n".join(shared[:20] + shared[20 + i :]), "menu") for i in range(20)]  # nothing but shared lines
+    docs += [(200 + i, "\n".join(shared), "copies") for i in range(30)]  # one text 30 times
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sets = {(h, d, frozenset(t.split("\n"))) for d, t, h in docs}
+    counts = {}
+    for h, _, ls in {(h, 0, ls) for h, _, ls in sets}:
+        for x in ls:
+            counts.setdefault((h, x), set()).add(ls)
+    assert Q.frequent_lines(df, 10).count() == sum(len(x) > 10 for x in counts.values())
+    for limit in (50_000, 0):
+        monkeypatch.setattr(Q, "BROADCAST_ROWS", limit)
+        got = {r["doc_id"]: r for r in Q.quality_rules(df, max_docs=10).collect()}
+        assert not any(r["base_failed"] for r in got.values())
+        assert all(not got[i]["kept"] and got[i]["n_left_words"] == 10 for i in range(30))
+        assert not any(got[100 + i]["kept"] for i in range(20))
+        assert all(got[200 + i]["kept"] for i in range(30))
+
+
 def brute_spans(text):
     text = text or ""
     out = []
