@@ -8,6 +8,11 @@ table values. Windows are judged by the character class of the candidate (hexade
 above the class's entropy are joined into spans of kind `entropy`. The allow list suppresses a candidate: UUIDs, word
 and path lists, and strings that name themselves as samples. All arithmetic is on integers.
 
+That is what scan_sql states and what `wide=False` gives. With `wide`, as in the query and in `redact`, the same runs
+are also judged in their parts: values (a run split at =) that mix the classes, and pieces (split at = / _ - too), each
+window of which has the entropy of its own class to reach. The allow list is then held against the value or piece, and
+samples must be named by all of it. UUIDs and runs under WINDOW characters have no entropy span.
+
 Defined results: a null or empty text has no spans; repeated rows get equal results; other input columns are ignored
 (and kept by `redact`).
 """
@@ -37,6 +42,21 @@ ALLOW = (
     r"^[a-z]+([/_-][a-z]+)*$",
     r"^(.)\1*$",
 )
+VALUE, PIECE = r"[A-Za-z0-9+/_-]{24,}", r"[A-Za-z0-9+]{24,}"
+#: By class of a window, the first that it matches: bits of entropy from which it is a secret. Words reach about 3.7.
+WINDOW_BITS = (
+    (r"^(?:[0-9a-f]+|[0-9A-F]+)$", HEX_BITS),
+    (r"^(?:[a-z+]+|[A-Z+]+)$", 4.0),
+    (r"^[A-Za-z+]+$", 4.1),
+    (r"^(?:[a-z0-9+]+|[A-Z0-9+]+)$", 3.6),
+    (r"", MIXED_BITS),
+)
+ALLOW_PART = (
+    ALLOW[0],
+    r"(?i)^(?:(?:example|sample|placeholder|changeme|lorem)[0-9/_+-]*)+$",
+    *ALLOW[2:],
+    r"(?i)^(?:abcdefghijklmnopqrstuvwxyz|0123456789)+$",
+)
 #: table[c] = c * log2(c), scaled and rounded: the entropy of a window is log2(W) - sum(table[c]) / (SCALE * W). One entry
 #: more than the window, as a character enters before another leaves.
 TABLE = [0, *(round(SCALE * c * math.log2(c)) for c in range(1, WINDOW + 2))]
@@ -61,13 +81,17 @@ def _matches(text: str, pattern: str, keep: str) -> str:
     return f"CASE WHEN {text} RLIKE '{p}' THEN filter({every}, x -> {keep}) ELSE cast(array() AS array<struct<s: int, e: int, m: string>>) END"
 
 
-def _entropy_spans(c: str) -> str:
+def _entropy_spans(c: str, allow: tuple = ALLOW, by_window: bool = False) -> str:
     """SQL of the array (s, e, m) of the spans in a candidate c (s, e, m), by incremental counts."""
     table = f"array({', '.join(f'{x}L' for x in TABLE)})"
     code = "locate(substring({0}.m, i, 1), '" + ALPHABET + "')"
-    allowed = " OR ".join("{0}.m RLIKE '{1}'".format(c, x.replace("\\", "\\\\")) for x in ALLOW)
+    allowed = " OR ".join("{0}.m RLIKE '{1}'".format(c, x.replace("\\", "\\\\")) for x in allow)
     mixed = f"({c}.m RLIKE '[0-9]' AND {c}.m RLIKE '[A-Z]' AND {c}.m RLIKE '[a-z]')"
     most = f"CASE WHEN {c}.m RLIKE '^[0-9a-f]+$' OR {c}.m RLIKE '^[0-9A-F]+$' THEN {_most(HEX_BITS)}L WHEN {mixed} THEN {_most(MIXED_BITS)}L ELSE -1L END"
+    bound = "t"
+    if by_window:
+        w = f"substring({c}.m, b.k - {WINDOW - 1}, {WINDOW})"
+        most, bound = "0L", f"CASE {' '.join(f"WHEN {w} RLIKE '{x}' THEN {_most(bits)}L" for x, bits in WINDOW_BITS)} END"
     # One step: put the entering character in, take the leaving one out, and close the window at i.
     moved = (
         f"named_struct('n', transform(a.n, (x, j) -> x + int(j + 1 = g.i) - int(j + 1 = g.o)), "
@@ -76,7 +100,7 @@ def _entropy_spans(c: str) -> str:
         f"'out', a.out, 'k', g.k)"
     )
     last = "element_at(b.out, -1)"
-    hit = f"b.k >= {WINDOW} AND b.f <= t"
+    hit = f"b.k >= {WINDOW} AND b.f <= {bound}"
     opened = f"named_struct('s', {c}.s + b.k - {WINDOW}, 'e', {c}.s + b.k, 'm', '')"
     joined = (
         f"CASE WHEN NOT ({hit}) THEN b.out WHEN size(b.out) > 0 AND {last}.e >= {c}.s + b.k - {WINDOW} "
@@ -99,7 +123,21 @@ def _labelled(column: str, kind: int) -> str:
 KINDS = ("assign", "access", "hex", "entropy")
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+def _parts(pattern: str) -> str:
+    """SQL of the parts (s, e, m) of the candidates that match a pattern, at their places in the text."""
+    return f"flatten(transform(_cand, c -> transform({_matches('c.m', pattern, 'true')}, p -> named_struct('s', c.s + p.s, 'e', c.s + p.e, 'm', p.m))))"
+
+
+def _joined(spans: str) -> str:
+    """SQL of the sorted spans, those that overlap or touch as one."""
+    last = "element_at(a, -1)"
+    return (
+        f"aggregate(array_sort({spans}), cast(array() AS array<struct<s: int, e: int, m: string>>), (a, x) -> CASE WHEN size(a) > 0 AND {last}.e >= x.s "
+        f"THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', {last}.s, 'e', greatest({last}.e, x.e), 'm', ''))) ELSE concat(a, array(x)) END)"
+    )
+
+
+def with_spans(docs: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
     """Adds _assign, _access, _hex and _entropy: arrays of (s, e, m)."""
     d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     value = ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
@@ -107,16 +145,22 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_access", F.expr(_matches("_t", ACCESS_LONG, "true")))
     d = d.withColumn("_hex", F.expr(_matches("_t", HEX_LONG, "true")))
     d = d.withColumn("_cand", F.expr(_matches("_t", CANDIDATE, "true")))
-    return d.withColumn("_entropy", F.expr(f"flatten(transform(_cand, c -> {_entropy_spans('c')}))")).drop("_cand", "_t")
+    d = d.withColumn("_entropy", F.expr(f"flatten(transform(_cand, c -> {_entropy_spans('c')}))"))
+    if wide:
+        d = d.withColumn("_value", F.expr(_parts(VALUE))).withColumn("_piece", F.expr(_parts(PIECE)))
+        d = d.withColumn("_values", F.expr(f"flatten(transform(_value, c -> {_entropy_spans('c', ALLOW_PART)}))"))
+        d = d.withColumn("_pieces", F.expr(f"flatten(transform(_piece, c -> {_entropy_spans('c', ALLOW_PART, by_window=True)}))"))
+        d = d.withColumn("_entropy", F.expr(_joined("concat(_entropy, _values, _pieces)"))).drop("_value", "_piece", "_values", "_pieces")
+    return d.drop("_cand", "_t")
 
 
 def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["k"]), x["s"], x["e"])), ",")
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
     """Adds n_assign, n_access, n_hex, n_entropy, base_sha256 and spans to every row."""
-    d = with_spans(docs, text)
+    d = with_spans(docs, text, wide)
     parts = [_labelled(f"_{k}", i) for i, k in enumerate(KINDS)]
     d = d.withColumn("_base", F.expr(f"array_sort(concat({', '.join(parts[:3])}))"))
     d = d.withColumn("_all", F.expr(f"array_sort(concat(_base, {parts[3]}))"))
@@ -128,7 +172,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span replaced by a mark; overlapping spans are replaced as one."""
-    d = scan(docs.select(F.struct(*docs.columns).alias("_in"), F.col(text).cast("string").alias("_x")), "_x")
+    d = scan(docs.select(F.struct(*docs.columns).alias("_in"), F.col(text).cast("string").alias("_x")), "_x", wide=True)
     merged = F.expr(
         "aggregate(_all, cast(array() AS array<struct<s: int, e: int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).e >= x.s "
         "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))) "
@@ -144,7 +188,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
     return d.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -129,6 +129,44 @@ def test_spans_equal_brute_force(spark):
         assert (x["base_sha256"], x["spans"]) == brute_spans(texts[x["doc_id"]]), texts[x["doc_id"]]
 
 
+WIDE = {
+    "KEY=": ["3F2A9C01D4E7B6583F0A9C71D2E4B6F85A1C0D93", "JBSWY3DPEHPK3PXPMFZTQ6LNOR2W4YLC"],  # capital hex, base32
+    "key-": ["k3v9x0qz7m2p8w5t1r6y4u0i3o9a2s8d", "0f3a9c71d2e4b6585a1c0d93"],  # small letters and digits; the shortest
+    "example=": ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzQkLmNpRs", "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0Lz"],  # the name of a sample, not the value
+    "my_": ["qWzXvBnMkLpOiUyTrEaSdFgHjCYZ"],  # letters of both cases
+}
+TAME = [
+    "id=123e4567-e89b-12d3-a456-426614174000", "exampleexampleexample123sample", "internationalizationofdonaudampfschiff", "word-list/of/lower_case/names_that-are_long", "2024-01-02/some-title-of-an-article",
+    "key=" + "a" * 60, "abcdefghijklmnopqrstuvwxyz0123456789",
+]
+
+
+def test_windows_are_judged_by_their_own_class(spark):
+    texts = [(f"é {name}{value} x", len(name) + 2, len(name) + 2 + len(value)) for name, values in WIDE.items() for value in values]
+    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate([*texts, *((x, 0, 0) for x in TAME)])], "doc_id long, text string")
+    missed = {r["doc_id"]: r["n_entropy"] for r in X.scan(df).collect()}
+    for r in X.scan(df, wide=True).collect():
+        if r["doc_id"] >= len(texts):
+            assert r["n_entropy"] == 0, r["text"]
+            continue
+        _, s, e = texts[r["doc_id"]]
+        found = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("entropy")]
+        assert len(found) == 1 and found[0][0] <= s and found[0][1] >= e, r
+    assert sum(missed[i] == 0 for i in range(len(texts))) >= 5  # what the class of the whole run does not find
+    assert all("[SECRET] x" in r["text"] for r in X.redact(df.limit(len(texts))).collect())
+
+
+def test_wide_spans_hold_the_narrow_ones(spark):
+    r = random.Random(3)
+    texts = [t or "" for t in SECRETS] + ["".join(r.choice(X.ALPHABET) for _ in range(r.randint(20, 300))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    narrow, wide = ({x["doc_id"]: x for x in X.scan(df, wide=w).collect()} for w in (False, True))
+    spans = lambda x: [tuple(map(int, y.split(":")[1:])) for y in x["spans"].split(",") if y.startswith("entropy")]
+    for i in range(len(texts)):
+        assert narrow[i]["base_sha256"] == wide[i]["base_sha256"]
+        assert all(any(a <= s and e <= b for a, b in spans(wide[i])) for s, e in spans(narrow[i]))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(["x token=abcdefgh1 y", "clean", None, "é" + "0123456789abcdef" * 2 + "é"])], "doc_id long, text string, _m int")
     got = X.redact(df).orderBy("doc_id").collect()
