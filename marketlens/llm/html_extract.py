@@ -61,7 +61,8 @@ PART_TAGS = frozenset("nav header footer aside form article main section ul ol l
 def blocks_of(html: str | None) -> list[tuple[str, frozenset[str]]]:
     """(text, features) of each leaf block that has text."""
     out: list[tuple[str, frozenset[str]]] = []
-    stack: list[tuple[str, frozenset[str]]] = []  # open tags, each with the features of all tags up to it
+    stack: list[tuple[str, frozenset[str], int]] = []  # open tags, each with the features of all tags up to it and the place of its nearest container
+    places: dict[str, list[int]] = {}  # of each open tag in the stack, so that no depth has to be searched
     none: frozenset[str] = frozenset()
     parts: list[str] = []
     linked, in_link, owner = 0, 0, none
@@ -76,6 +77,11 @@ def blocks_of(html: str | None) -> list[tuple[str, frozenset[str]]]:
                 out.append((text, owner | _text_features(text, linked)))
         linked = 0
 
+    def close(at: int):
+        for tag, *_ in stack[at:]:
+            places[tag].pop()
+        del stack[at:]
+
     for m in TOKEN.finditer(html or ""):
         text = m["text"]
         if text is not None:
@@ -98,22 +104,19 @@ def blocks_of(html: str | None) -> list[tuple[str, frozenset[str]]]:
         flush()
         in_link = 0
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         closes = CLOSES.get(tag)
         if closes or (tag in CONTAINERS or tag[0] == "h") and stack and stack[-1][0] == "p":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CONTAINERS:
-                    break
-                if stack[i][0] in (closes or ("p",)):
-                    del stack[i:]
-                    break
-        if tag not in VOID and len(stack) < 500:
-            above = stack[-1][1] if stack else none
-            stack.append((tag, above | _tag_features(tag, m["attrs"] if "=" in m["attrs"] else "")))
+            last = max((places[t][-1] for t in closes or ("p",) if places.get(t)), default=-1)
+            if last > (stack[-1][2] if stack else -1):
+                close(last)
+        if tag not in VOID:
+            above, container = stack[-1][1:] if stack else (none, -1)
+            own = _tag_features(tag, m["attrs"] if "=" in m["attrs"] else "")
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, above if own <= above else above | own, len(stack) if tag in CONTAINERS else container))
     flush()
     return [(t, f | {"first"} if i == 0 else f) for i, (t, f) in enumerate(out)]
 

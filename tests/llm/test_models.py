@@ -103,6 +103,16 @@ def test_blocks_of_bad_markup():
     assert texts("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_blocks_deep_in_the_page_have_all_their_ancestors():
+    deep = "<div>" * 600 + '<div class="sidebar">' + "in" + "</div>" + "after" + "</div>" * 600 + "end"
+    got = [(t, f) for t, f in H.blocks_of('<article class="post">' + deep + "</article>")]
+    assert [t for t, _ in got] == ["in", "after", "end"]
+    assert "part:side" in got[0][1] and "part:side" not in got[1][1]
+    assert all("in:article" in f for _, f in got)
+    unclosed = H.blocks_of("<x>" * 100_000 + "<p>a</p>" * 50_000)  # no search over the depth
+    assert len(unclosed) == 50_000
+
+
 def test_extract(spark):
     html = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title here</h1><p>Some long sentence of the article, with &eacute;.</p></article><footer>&copy; me</footer></body></html>"
     df = spark.createDataFrame([(1, "u", html, "t"), (2, None, None, "t"), (None, "v", "", "t"), (1, "u", html, "t")], "page_id long, url string, html string, text string")
