@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,14 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's checkpoint folder. Where none is set, a single machine gets a folder of its own; a cluster an error,
+    as its driver and executors see different folders."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,10 +58,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def computed_filter(df: DataFrame, condition: str) -> DataFrame:
-    """A filter on computed columns that stays above their projection. Pushed below it, the condition would repeat the
-    expressions of its columns inside their own lambdas, once an element."""
-    return df.withColumn("_above", F.monotonically_increasing_id()).filter(f"({condition}) AND _above >= 0").drop("_above")
+def discard(df: DataFrame) -> None:
+    """Delete the files that a frame of `stored` reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(df: DataFrame, columns: list) -> DataFrame:
+    """df.select(columns), computed once a row: no later filter or projection is merged into them. Merged, a condition
+    would repeat the expressions of its columns inside their own lambdas, once an element."""
+    held = F.when(F.monotonically_increasing_id() >= 0, F.struct(*columns))
+    return df.select(held.alias("_held")).select("_held.*")
 
 
 def slices(batches, rows: int):

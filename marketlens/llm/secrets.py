@@ -2,19 +2,18 @@
 
 Native: DataFrame functions only. A pattern's matches come from regexp_extract_all and the text between them from
 split, so that running sums of lengths give every match's place in code points. The method takes candidate strings
-(maximal runs of key characters), slides a window of WINDOW characters over each and keeps the counts of its characters
-in an array: one step takes the leaving character out, puts the entering one in and adjusts the sum of c * log2(c) by
-table values. Windows are judged by the character class of the candidate (hexadecimal, or letters and digits); windows
-above the class's entropy are joined into spans of kind `entropy`. The allow list suppresses a candidate: UUIDs, word
-and path lists, and strings that name themselves as samples. All arithmetic is on integers.
-
-That is what scan_sql states and what `wide=False` gives. With `wide`, as in the query and in `redact`, the same runs
-are also judged in their parts: values (a run split at =) that mix the classes, and pieces (split at = / _ - too), each
-window of which has the entropy of its own class to reach. The allow list is then held against the value or piece, and
-samples must be named by all of it. UUIDs and runs under WINDOW characters have no entropy span.
-
-Defined results: a null or empty text has no spans; repeated rows get equal results; other input columns are ignored
-(and kept by `redact`).
+(maximal runs of CANDIDATE characters, so a name before = is not part of one), slides a window of WINDOW characters over
+each and keeps the counts of its characters, those of its character classes, and the sum of c * log2(c): one step takes
+the leaving character out, puts the entering one in and changes these two counts and the sum. The characters present
+give the window's class (hexadecimal, letters of one case or both, those with digits, all mixed), each class has its
+own entropy, and windows above it are joined into spans of kind `entropy`. The allow list suppresses a candidate that
+it matches as a whole: UUIDs, word and path lists, the alphabet, names of samples. All arithmetic is on integers.
+
+Every step is linear in the text: long candidates are scanned and long lists summed in parts of bounded size, and no
+pattern holds a group that repeats by recursion.
+
+Defined results: a null or empty text has no spans; runs under WINDOW characters have no entropy span; repeated rows
+get equal results; other input columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import settled
+
 # The three base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -30,36 +31,27 @@ HEX = r"[0-9a-f]+"
 HEX_LONG = r"[0-9a-f]{32,}"  # runs are maximal, so the short ones need not be matched first
 ACCESS_LONG = r"AKIA[A-Z0-9]{12,}"  # what follows a later AKIA of the same run is shorter still
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
 WINDOW = 24
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Character classes of a window: digits, a-f, g-z, A-F, G-Z, marks.
+CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_-")
 SCALE = 1_000_000
-#: Bits of entropy of a window from which it is a secret: for hexadecimal candidates, and for others that mix classes.
-HEX_BITS, MIXED_BITS = 3.0, 3.9
+#: Bits of entropy from which a window is a secret, by what it holds. Words reach about 3.7.
+HEX_BITS, ONE_CASE_BITS, LETTER_BITS, MARKED_LETTER_BITS, ONE_CASE_DIGIT_BITS, MIXED_BITS = 3.0, 4.0, 4.1, 4.2, 3.6, 3.9
+#: Possessive repeats: no state is kept for a repetition, whatever the length of a candidate.
 ALLOW = (
-    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i:example|sample|placeholder|changeme|lorem)",
-    r"^[a-z]+([/_-][a-z]+)*$",
-    r"^(.)\1*$",
-)
-VALUE, PIECE = r"[A-Za-z0-9+/_-]{24,}", r"[A-Za-z0-9+]{24,}"
-#: By class of a window, the first that it matches: bits of entropy from which it is a secret. Words reach about 3.7.
-WINDOW_BITS = (
-    (r"^(?:[0-9a-f]+|[0-9A-F]+)$", HEX_BITS),
-    (r"^(?:[a-z+]+|[A-Z+]+)$", 4.0),
-    (r"^[A-Za-z+]+$", 4.1),
-    (r"^(?:[a-z0-9+]+|[A-Z0-9+]+)$", 3.6),
-    (r"", MIXED_BITS),
-)
-ALLOW_PART = (
-    ALLOW[0],
-    r"(?i)^(?:(?:example|sample|placeholder|changeme|lorem)[0-9/_+-]*)+$",
-    *ALLOW[2:],
-    r"(?i)^(?:abcdefghijklmnopqrstuvwxyz|0123456789)+$",
+    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"(?i)^(?:(?:example|sample|placeholder|changeme|lorem)[0-9/_+-]*+)++$",
+    r"^[a-z]++(?:[/_-][a-z]++)*+$",
+    r"(?i)^(?:abcdefghijklmnopqrstuvwxyz|0123456789)++$",
 )
 #: table[c] = c * log2(c), scaled and rounded: the entropy of a window is log2(W) - sum(table[c]) / (SCALE * W). One entry
 #: more than the window, as a character enters before another leaves.
 TABLE = [0, *(round(SCALE * c * math.log2(c)) for c in range(1, WINDOW + 2))]
+#: Elements of a list, and windows of a candidate, that one part takes.
+PART, WINDOWS = 256, 512
+SPANS = "array<struct<s: int, e: int, m: string>>"
 
 
 def _most(bits: float) -> int:
@@ -67,53 +59,101 @@ def _most(bits: float) -> int:
     return int(TABLE[WINDOW] - bits * SCALE * WINDOW)
 
 
+def most_by_classes(present: int) -> int:
+    """The same for the classes present in a window (a bit each, as in CLASSES); -1 if such windows are no secrets."""
+    digit, af, gz, AF, GZ, mark = (bool(present >> i & 1) for i in range(6))
+    small, capital = af or gz, AF or GZ
+    if mark:
+        return _most(MIXED_BITS if digit else MARKED_LETTER_BITS) if small and capital else -1
+    if not gz and not GZ and not (af and AF):
+        return _most(HEX_BITS)
+    if not digit:
+        return _most(LETTER_BITS if small and capital else ONE_CASE_BITS)
+    return _most(MIXED_BITS if small and capital else ONE_CASE_DIGIT_BITS)
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(body: str, **values: str) -> str:
+    """SQL of body with names for values, each computed once; later values may use earlier names."""
+    for name, value in reversed(values.items()):
+        body = f"get(transform(array({value}), {name} -> {body}), 0)"
+    return body
+
+
+def _running(values: str, fold: str = "{0} + {1}") -> str:
+    """SQL of the running sums (or another fold from 0) of an array of int, in parts of PART."""
+    last = "coalesce(get({0}, size({0}) - 1), 0)"
+    inner = fold.format(last.format("acc"), "y")
+    outer = fold.format(last.format("acc"), last.format("ys"))
+    return _let(
+        f"flatten(transform(parts, (ys, j) -> transform(ys, y -> {fold.format('get(bases, j)', 'y')})))",
+        vals=values,
+        parts=f"transform(sequence(0, greatest(size(vals) - 1, 0), {PART}), p -> aggregate(slice(vals, p + 1, {PART}), cast(array() AS array<int>), (acc, y) -> concat(acc, array({inner}))))",
+        bases=f"aggregate(parts, array(0), (acc, ys) -> concat(acc, array({outer})))",
+    )
+
+
 def _matches(text: str, pattern: str, keep: str) -> str:
-    """SQL of the array (s, e, m) of a pattern's matches in a column; `keep` filters them by m."""
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    found, gaps = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}')"
-    step = (
-        "named_struct('at', a.at + length(g.g) + length(g.m), 'out', concat(a.out, array(named_struct("
-        "'s', a.at + length(g.g), 'e', a.at + length(g.g) + length(g.m), 'm', g.m))))"
+    """SQL of the array (s, e, m) of a pattern's matches in a column; `keep` filters them by x.m."""
+    every = _let(
+        f"filter(transform(found, (m, k) -> named_struct('s', get(ends, k) - length(m), 'e', get(ends, k), 'm', m)), x -> {keep})",
+        found=f"regexp_extract_all({text}, {_quoted(pattern)}, 0)",
+        gaps=f"split({text}, {_quoted(pattern)})",
+        ends=_running("transform(found, (m, k) -> length(get(gaps, k)) + length(m))"),
     )
-    zero = "named_struct('at', 0, 'out', cast(array() AS array<struct<s: int, e: int, m: string>>))"
-    zipped = f"zip_with({gaps}, {found}, (x, y) -> named_struct('g', x, 'm', y))"
-    every = f"aggregate(filter({zipped}, x -> x.m IS NOT NULL), {zero}, (a, g) -> {step}, a -> a.out)"
-    return f"CASE WHEN {text} RLIKE '{p}' THEN filter({every}, x -> {keep}) ELSE cast(array() AS array<struct<s: int, e: int, m: string>>) END"
+    return f"CASE WHEN {text} RLIKE {_quoted(pattern)} THEN {every} ELSE cast(array() AS {SPANS}) END"
+
 
+def _entropy_spans(c: str) -> str:
+    """SQL of the array (s, e, m) of the spans in a candidate c (s, e, m), by incremental counts.
 
-def _entropy_spans(c: str, allow: tuple = ALLOW, by_window: bool = False) -> str:
-    """SQL of the array (s, e, m) of the spans in a candidate c (s, e, m), by incremental counts."""
+    The counts are a string, one letter a character of ALPHABET (A for none); those of the classes are five bits each of
+    one long. A part begins its windows anew, WINDOW - 1 characters before its first."""
     table = f"array({', '.join(f'{x}L' for x in TABLE)})"
-    code = "locate(substring({0}.m, i, 1), '" + ALPHABET + "')"
-    allowed = " OR ".join("{0}.m RLIKE '{1}'".format(c, x.replace("\\", "\\\\")) for x in allow)
-    mixed = f"({c}.m RLIKE '[0-9]' AND {c}.m RLIKE '[A-Z]' AND {c}.m RLIKE '[a-z]')"
-    most = f"CASE WHEN {c}.m RLIKE '^[0-9a-f]+$' OR {c}.m RLIKE '^[0-9A-F]+$' THEN {_most(HEX_BITS)}L WHEN {mixed} THEN {_most(MIXED_BITS)}L ELSE -1L END"
-    bound = "t"
-    if by_window:
-        w = f"substring({c}.m, b.k - {WINDOW - 1}, {WINDOW})"
-        most, bound = "0L", f"CASE {' '.join(f"WHEN {w} RLIKE '{x}' THEN {_most(bits)}L" for x, bits in WINDOW_BITS)} END"
-    # One step: put the entering character in, take the leaving one out, and close the window at i.
-    moved = (
-        f"named_struct('n', transform(a.n, (x, j) -> x + int(j + 1 = g.i) - int(j + 1 = g.o)), "
-        f"'f', a.f + get({table}, get(a.n, g.i - 1) + 1) - get({table}, get(a.n, g.i - 1)) "
-        f"+ CASE WHEN g.o = 0 THEN 0L ELSE get({table}, get(a.n, g.o - 1) + int(g.o = g.i) - 1) - get({table}, get(a.n, g.o - 1) + int(g.o = g.i)) END, "
-        f"'out', a.out, 'k', g.k)"
+    unit = {ch: 1 << 5 * i for i, chars in enumerate(CLASSES) for ch in chars}
+    units = f"array({', '.join(f'{unit[ch]}L' for ch in ALPHABET)})"
+    most = f"array({', '.join(f'{most_by_classes(p)}L' for p in range(1 << len(CLASSES)))})"
+    present = " + ".join(f"int((moved.c & {31 << 5 * i}L) <> 0) * {1 << i}" for i in range(len(CLASSES)))
+    count = "(ascii(substring({0}.n, {1}, 1)) - 65)"
+    entered = _let(
+        f"named_struct('n', overlay(a.n, chr(66 + old), g.i, 1), 'f', a.f + get({table}, old + 1) - get({table}, old), 'c', a.c + get({units}, g.i - 1), 'out', a.out)",
+        old=count.format("a", "g.i"),
+    )
+    left = _let(
+        f"named_struct('n', overlay(more.n, chr(64 + old), g.o, 1), 'f', more.f - get({table}, old) + get({table}, old - 1), 'c', more.c - get({units}, g.o - 1), 'out', more.out)",
+        old=count.format("more", "g.o"),
     )
-    last = "element_at(b.out, -1)"
-    hit = f"b.k >= {WINDOW} AND b.f <= {bound}"
-    opened = f"named_struct('s', {c}.s + b.k - {WINDOW}, 'e', {c}.s + b.k, 'm', '')"
-    joined = (
-        f"CASE WHEN NOT ({hit}) THEN b.out WHEN size(b.out) > 0 AND {last}.e >= {c}.s + b.k - {WINDOW} "
-        f"THEN concat(slice(b.out, 1, size(b.out) - 1), array(named_struct('s', {last}.s, 'e', {c}.s + b.k, 'm', ''))) ELSE concat(b.out, array({opened})) END"
+    hit = f"g.k >= {WINDOW} AND moved.f <= {max(map(most_by_classes, range(64)))}L AND moved.f <= get({most}, {present})"
+    step = _let(
+        f"CASE WHEN {hit} THEN named_struct('n', moved.n, 'f', moved.f, 'c', moved.c, 'out', concat(moved.out, array(p + g.k - {WINDOW}))) ELSE moved END",
+        more=entered,
+        moved=f"CASE WHEN g.o = 0 THEN more ELSE {left} END",
+    )
+    zero = f"named_struct('n', repeat('A', {len(ALPHABET)}), 'f', 0L, 'c', 0L, 'out', cast(array() AS array<int>))"
+    steps = f"transform(slice(codes, p + 1, {WINDOWS + WINDOW - 1}), (x, k) -> named_struct('i', x, 'o', CASE WHEN k >= {WINDOW} THEN get(codes, p + k - {WINDOW}) ELSE 0 END, 'k', k + 1))"
+    spans = _let(
+        f"transform(firsts, (x, k) -> named_struct('s', {c}.s + x, 'e', {c}.s + get(lasts, k) + {WINDOW}, 'm', ''))",
+        codes=f"transform(split({c}.m, ''), ch -> locate(ch, '{ALPHABET}'))",
+        hits=f"flatten(transform(sequence(0, greatest(size(codes) - {WINDOW}, 0), {WINDOWS}), p -> aggregate({steps}, {zero}, (a, g) -> {step}, a -> a.out)))",
+        firsts=f"filter(hits, (x, k) -> k = 0 OR x - get(hits, k - 1) > {WINDOW})",
+        lasts=f"filter(hits, (x, k) -> k = size(hits) - 1 OR get(hits, k + 1) - x > {WINDOW})",
+    )
+    allowed = " OR ".join(f"{c}.m RLIKE {_quoted(x)}" for x in ALLOW)
+    return f"CASE WHEN {allowed} THEN cast(array() AS {SPANS}) ELSE {spans} END"
+
+
+def _joined(spans: str) -> str:
+    """SQL of the spans (s, e) of a sorted array, those that overlap or touch as one."""
+    return _let(
+        "transform(filter(firsts, x -> x IS NOT NULL), (x, k) -> named_struct('s', x, 'e', get(lasts, k)))",
+        every=spans,
+        most=_running("transform(every, x -> x.e)", "greatest({0}, {1})"),
+        firsts="transform(every, (x, k) -> CASE WHEN k = 0 OR x.s > get(most, k - 1) THEN x.s END)",
+        lasts="filter(transform(every, (x, k) -> CASE WHEN k = size(every) - 1 OR get(every, k + 1).s > get(most, k) THEN get(most, k) END), x -> x IS NOT NULL)",
     )
-    # get(array(b), 0)-style binding: a one-element transform names the moved state b and the bound t.
-    step = f"get(transform(array({moved}), b -> named_struct('n', b.n, 'f', b.f, 'out', {joined}, 'k', b.k)), 0)"
-    codes = f"transform(sequence(1, length({c}.m)), i -> {code.format(c)})"
-    steps = f"get(transform(array({codes}), q -> transform(q, (x, k) -> named_struct('i', x, 'o', coalesce(get(q, k - {WINDOW}), 0), 'k', k + 1))), 0)"
-    zero = f"named_struct('n', array_repeat(0, {len(ALPHABET)}), 'f', 0L, 'out', cast(array() AS array<struct<s: int, e: int, m: string>>), 'k', 0)"
-    run = f"aggregate({steps}, {zero}, (a, g) -> {step}, a -> a.out)"
-    none = "cast(array() AS array<struct<s: int, e: int, m: string>>)"
-    return f"get(transform(array({most}), t -> CASE WHEN t < 0 OR {allowed} THEN {none} ELSE {run} END), 0)"
 
 
 def _labelled(column: str, kind: int) -> str:
@@ -123,34 +163,14 @@ def _labelled(column: str, kind: int) -> str:
 KINDS = ("assign", "access", "hex", "entropy")
 
 
-def _parts(pattern: str) -> str:
-    """SQL of the parts (s, e, m) of the candidates that match a pattern, at their places in the text."""
-    return f"flatten(transform(_cand, c -> transform({_matches('c.m', pattern, 'true')}, p -> named_struct('s', c.s + p.s, 'e', c.s + p.e, 'm', p.m))))"
-
-
-def _joined(spans: str) -> str:
-    """SQL of the sorted spans, those that overlap or touch as one."""
-    last = "element_at(a, -1)"
-    return (
-        f"aggregate(array_sort({spans}), cast(array() AS array<struct<s: int, e: int, m: string>>), (a, x) -> CASE WHEN size(a) > 0 AND {last}.e >= x.s "
-        f"THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', {last}.s, 'e', greatest({last}.e, x.e), 'm', ''))) ELSE concat(a, array(x)) END)"
-    )
-
-
-def with_spans(docs: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _assign, _access, _hex and _entropy: arrays of (s, e, m)."""
     d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    value = ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
-    d = d.withColumn("_assign", F.expr(_matches("_t", ASSIGN, f"length(regexp_extract(x.m, '{value}', 2)) >= 8")))
+    d = d.withColumn("_assign", F.expr(_matches("_t", ASSIGN, f"length(regexp_extract(x.m, {_quoted(ASSIGN)}, 2)) >= 8")))
     d = d.withColumn("_access", F.expr(_matches("_t", ACCESS_LONG, "true")))
     d = d.withColumn("_hex", F.expr(_matches("_t", HEX_LONG, "true")))
     d = d.withColumn("_cand", F.expr(_matches("_t", CANDIDATE, "true")))
-    d = d.withColumn("_entropy", F.expr(f"flatten(transform(_cand, c -> {_entropy_spans('c')}))"))
-    if wide:
-        d = d.withColumn("_value", F.expr(_parts(VALUE))).withColumn("_piece", F.expr(_parts(PIECE)))
-        d = d.withColumn("_values", F.expr(f"flatten(transform(_value, c -> {_entropy_spans('c', ALLOW_PART)}))"))
-        d = d.withColumn("_pieces", F.expr(f"flatten(transform(_piece, c -> {_entropy_spans('c', ALLOW_PART, by_window=True)}))"))
-        d = d.withColumn("_entropy", F.expr(_joined("concat(_entropy, _values, _pieces)"))).drop("_value", "_piece", "_values", "_pieces")
+    d = d.withColumn("_entropy", F.expr(f"flatten(transform(_cand, cand -> {_entropy_spans('cand')}))"))
     return d.drop("_cand", "_t")
 
 
@@ -158,77 +178,80 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["k"]), x["s"], x["e"])), ",")
 
 
-def scan(docs: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
-    """Adds n_assign, n_access, n_hex, n_entropy, base_sha256 and spans to every row."""
-    d = with_spans(docs, text, wide)
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_assign, n_access, n_hex, n_entropy, base_sha256, spans and _all (the spans as an array) to every row."""
+    d = with_spans(docs, text)
     parts = [_labelled(f"_{k}", i) for i, k in enumerate(KINDS)]
     d = d.withColumn("_base", F.expr(f"array_sort(concat({', '.join(parts[:3])}))"))
     d = d.withColumn("_all", F.expr(f"array_sort(concat(_base, {parts[3]}))"))
     for k in KINDS:
         d = d.withColumn(f"n_{k}", F.size(f"_{k}").cast("long"))
     d = d.withColumn("base_sha256", F.sha2(_text_of(F.col("_base")), 256)).withColumn("spans", _text_of(F.col("_all")))
-    return d.drop("_base", *(f"_{k}" for k in KINDS))
+    d = d.drop("_base", *(f"_{k}" for k in KINDS))
+    return settled(d, [F.col(f"`{c}`") for c in d.columns])
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span replaced by a mark; overlapping spans are replaced as one."""
-    d = scan(docs.select(F.struct(*docs.columns).alias("_in"), F.col(text).cast("string").alias("_x")), "_x", wide=True)
-    merged = F.expr(
-        "aggregate(_all, cast(array() AS array<struct<s: int, e: int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).e >= x.s "
-        "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))) "
-        "ELSE concat(a, array(named_struct('s', x.s, 'e', x.e))) END)"
+    d = scan(docs.select(F.struct(*docs.columns).alias("_in"), F.col(text).cast("string").alias("_x")), "_x")
+    left = _let(
+        f"array_join(flatten(transform(sequence(0, size(spans)), k -> concat(CASE WHEN k = 0 THEN array() ELSE array('{mark}') END, "
+        "slice(chars, coalesce(get(spans, k - 1).e, 0) + 1, greatest(coalesce(get(spans, k).s, size(chars)) - coalesce(get(spans, k - 1).e, 0), 0))))), '')",
+        spans=_joined("_all"),
+        chars="split(_x, '')",
     )
-    d = d.withColumn("_m", merged)
-    before = "(CASE WHEN k = 0 THEN 0 ELSE get(_m, k - 1).e END)"
-    body = f"array_join(transform(_m, (x, k) -> concat(substring(_x, {before} + 1, x.s - {before}), '{mark}')), '')"
-    new = F.expr(f"CASE WHEN size(_m) = 0 THEN _x ELSE concat({body}, substring(_x, element_at(_m, -1).e + 1)) END")
+    new = F.expr(f"CASE WHEN size(_all) = 0 THEN _x ELSE {left} END")
     return d.select(*(new.alias(c) if c == text else F.col(f"_in.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
+    d = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def _sql_matches(kind: int, pattern: str, keep: str, source: str) -> str:
     p = pattern.replace("'", "''")
     return f"""
-  SELECT doc_id, {kind} AS k, s, s + length(m) AS e, m FROM (
-    SELECT doc_id, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::BIGINT AS s FROM (
-      SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 0)) AS m, unnest(regexp_split_to_array(text, '{p}')) AS g,
+  SELECT rid, {kind} AS k, s, s + length(m) AS e, m FROM (
+    SELECT rid, m, (sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m))::BIGINT AS s FROM (
+      SELECT rid, unnest(regexp_extract_all(text, '{p}', 0)) AS m, unnest(regexp_split_to_array(text, '{p}')) AS g,
         generate_subscripts(regexp_split_to_array(text, '{p}'), 1) AS i FROM {source}) WHERE m IS NOT NULL)
   WHERE {keep}"""
 
 
 def scan_sql(source: str = "documents") -> str:
-    """SQL with one row a document: counts, base_sha256, spans and the redacted text."""
+    """SQL with one row a document: counts, base_sha256 and spans. Each window is counted afresh."""
     value = ASSIGN.replace("'", "''")
     table = f"[{', '.join(map(str, TABLE))}]"
-    allowed = " OR ".join(f"regexp_matches(m, '{x}')" for x in ALLOW if "\\1" not in x)
+    allowed = " OR ".join(f"regexp_matches(m, '{x.replace('++', '+').replace('*+', '*')}')" for x in ALLOW)
+    has = lambda chars: f"regexp_matches(w, '[{chars}]')"
+    digit, small, capital = has("0-9"), has("a-z"), has("A-Z")
+    most = f"""CASE WHEN {has("+/_-")} THEN CASE WHEN NOT ({small} AND {capital}) THEN -1 WHEN {digit} THEN {_most(MIXED_BITS)} ELSE {_most(MARKED_LETTER_BITS)} END
+      WHEN NOT {has("g-zG-Z")} AND NOT ({has("a-f")} AND {has("A-F")}) THEN {_most(HEX_BITS)}
+      WHEN NOT {digit} THEN CASE WHEN {small} AND {capital} THEN {_most(LETTER_BITS)} ELSE {_most(ONE_CASE_BITS)} END
+      WHEN {small} AND {capital} THEN {_most(MIXED_BITS)} ELSE {_most(ONE_CASE_DIGIT_BITS)} END"""
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {source}),
 a AS ({_sql_matches(0, ASSIGN, f"length(regexp_extract(m, '{value}', 2)) >= 8", "d")}),
 c AS ({_sql_matches(1, ACCESS, "length(m) >= 16", "d")}),
 h AS ({_sql_matches(2, HEX, "length(m) >= 32", "d")}),
 q AS ({_sql_matches(3, CANDIDATE, "true", "d")}),
-qt AS (
-  SELECT *, row_number() OVER () AS cid, CASE WHEN regexp_matches(m, '^[0-9a-f]+$') OR regexp_matches(m, '^[0-9A-F]+$') THEN {_most(HEX_BITS)}
-      WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') THEN {_most(MIXED_BITS)} ELSE -1 END AS t
-  FROM q WHERE NOT ({allowed}) AND length(replace(m, m[1], '')) > 0),
-win AS (SELECT cid, doc_id, s, t, i, substr(m, i + 1, {WINDOW}) AS w FROM (SELECT *, unnest(range(0, length(m) - {WINDOW} + 1)) AS i FROM qt WHERE t >= 0)),
-cnt AS (SELECT cid, doc_id, s, t, i, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS ch FROM win) GROUP BY cid, doc_id, s, t, i, ch),
-hit AS (SELECT cid, doc_id, s + i AS b FROM (SELECT cid, doc_id, s, t, i, sum({table}[n + 1]) AS f FROM cnt GROUP BY cid, doc_id, s, t, i) WHERE f <= t),
+qt AS (SELECT rid, s, m, row_number() OVER () AS cid FROM q WHERE NOT ({allowed})),
+win AS (SELECT cid, rid, s, i, substr(m, i + 1, {WINDOW}) AS w FROM (SELECT *, unnest(range(0, length(m) - {WINDOW} + 1)) AS i FROM qt)),
+lim AS (SELECT *, {most} AS t FROM win),
+cnt AS (SELECT cid, rid, s, t, i, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS ch FROM lim WHERE t >= 0) GROUP BY cid, rid, s, t, i, ch),
+hit AS (SELECT cid, rid, s + i AS b FROM (SELECT cid, rid, s, t, i, sum({table}[n + 1]) AS f FROM cnt GROUP BY cid, rid, s, t, i) WHERE f <= t),
 isl AS (SELECT *, sum(CASE WHEN b - p <= {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY cid ORDER BY b) AS g FROM (SELECT *, lag(b) OVER (PARTITION BY cid ORDER BY b) AS p FROM hit)),
-e AS (SELECT doc_id, 3 AS k, min(b)::BIGINT AS s, (max(b) + {WINDOW})::BIGINT AS e FROM isl GROUP BY doc_id, cid, g),
-u AS (SELECT doc_id, k, s, e FROM a UNION ALL SELECT doc_id, k, s, e FROM c UNION ALL SELECT doc_id, k, s, e FROM h UNION ALL SELECT doc_id, k, s, e FROM e),
-n AS (SELECT doc_id, k, s, e, (['assign', 'access', 'hex', 'entropy'])[k + 1] || ':' || s || ':' || e AS x FROM u),
+e AS (SELECT rid, 3 AS k, min(b)::BIGINT AS s, (max(b) + {WINDOW})::BIGINT AS e FROM isl GROUP BY rid, cid, g),
+u AS (SELECT rid, k, s, e FROM a UNION ALL SELECT rid, k, s, e FROM c UNION ALL SELECT rid, k, s, e FROM h UNION ALL SELECT rid, k, s, e FROM e),
+n AS (SELECT rid, k, s, e, (['assign', 'access', 'hex', 'entropy'])[k + 1] || ':' || s || ':' || e AS x FROM u),
 r AS (
-  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-    coalesce(string_agg(x, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, string_agg(x, ',' ORDER BY s, k, e) AS spans FROM n GROUP BY doc_id)
+  SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    coalesce(string_agg(x, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base, string_agg(x, ',' ORDER BY s, k, e) AS spans FROM n GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON r.rid = d.rid"""
 
 
 ORACLE = scan_sql()
