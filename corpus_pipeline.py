@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlens.llm import packing, quality_rules, secrets, simhash, toxicity
-from marketlens.llm.common import computed_filter, stored, table
+from marketlens.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Toxicity is a fitted model, which SQL cannot express; tests hold run() against a brute-force version.
@@ -31,7 +31,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(computed_filter(quality_rules.quality_rules(docs), "kept"))
+    return _documents(quality_rules.quality_rules(docs).filter("kept"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,12 @@ STAGES = [("quality", quality), ("toxicity", toxic), ("near_dups", near_dups), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
+            if before is not None:
+                discard(before)  # no later stage reads it
+            before = docs
     return docs
