@@ -1,15 +1,17 @@
 """URL filters (operator 3): ordered host and path rules, then a Bloom filter cascade over listed domains.
 
-Native: DataFrame functions only, and no join. The cascade knows the corpus's complete key universe (the distinct
-registered domains of all urls): level 0 encodes the listed keys, level 1 the unlisted keys that level 0 lets through,
-level 2 the listed keys that level 1 lets through, and so on until a level lets nothing wrong through. A key of the
-universe is then judged exactly by the first level that lacks it. Levels are bitmaps built by bitmap_construct_agg and
-put in the plan as binary literals; their size is known before they are built (BITS_PER_KEY a key of the level, at
-least MIN_BITS). A level above MAX_BYTES is not built: the list is split by key hash into parts, each with a cascade
-of its own, and rows are judged part by part.
-
-Defined results: a null url or one without `://` has an empty host and path, no rule and the verdict allow; userinfo
-and ports stay in the host; repeated rows get equal results; other input columns are kept by `filter_urls`.
+Native: DataFrame functions only, and no join: one aggregation gives the corpus's complete key universe (the distinct
+registered domains of all urls, without user names and ports) and which of its keys are listed. The cascade: level 0
+encodes the listed keys, level 1 the unlisted keys that level 0 lets through, level 2 the listed keys that level 1 lets
+through, and so on until a level lets nothing wrong through. A key of the universe is then judged exactly by the first
+level that lacks it. Levels are bitmaps built by bitmap_construct_agg and put in the plan as binary literals; the keys
+of a level are counted before it is built (BITS_PER_KEY a key, at least MIN_BITS). Where a level of any depth would
+exceed MAX_BYTES, the keys are split by hash into twice as many parts, each with a cascade of its own, and rows are
+judged part by part; a part reads the rows once, and holds some 16 million listed or 500 million other domains.
+
+Defined results: a null url or one without `://` has an empty host and path, no rule and the verdict allow; user names
+and ports stay in `host`, which rules are held against, and are no part of a listed domain; repeated rows get equal
+results; other input columns are kept by `filter_urls`; an empty table gives no rows, an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: The listed domains of the query: six names under each of three zones.
 LISTED = tuple(f"{name}.example.{zone}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org"))
 LABELS = 3  # a registered domain is the last three labels: example.<zone> is a public suffix here
-BITS_PER_KEY, MIN_BITS, PROBES, MAX_LEVELS = 8, 256, 3, 40
+BITS_PER_KEY, MIN_BITS, PROBES = 8, 256, 3
 MAX_BYTES = 16 << 20
 CHUNK = 32768  # bits of a bitmap of bitmap_construct_agg
 
@@ -37,8 +39,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+#: The name in a host, without a user name, a port and a last dot.
+NAME = r"(?s)^(?:.*@)?(.*?)\.?(?::[0-9]*)?\z"
+
+
 def domain_of(host: Column, labels: int = LABELS) -> Column:
-    return F.array_join(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), 1, labels)), ".")
+    name = F.regexp_extract(host, NAME, 1)
+    return F.array_join(F.reverse(F.slice(F.reverse(F.split(name, r"\.")), 1, labels)), ".")
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -81,21 +88,30 @@ class Level:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
-    """Levels over a universe of distinct keys (key); listed: (key), any of them."""
-    inside = universe.join(listed.select("key").distinct(), "key", "left_semi")
-    outside = universe.join(listed.select("key").distinct(), "key", "left_anti")
-    sides, levels = [inside, outside], []
-    while len(levels) < MAX_LEVELS:
-        side = sides[len(levels) % 2]
+class TooLarge(Exception):
+    """A level would exceed MAX_BYTES."""
+
+
+def universe_of(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """key, listed: the distinct keys and whether each is one of the listed ones; both sides have a column `key`."""
+    both = keys.select("key", F.lit(False).alias("listed"), F.lit(True).alias("seen")).unionAll(listed.select("key", F.lit(True), F.lit(False)))
+    return both.filter("key IS NOT NULL").groupBy("key").agg(F.max("listed").alias("listed"), F.max("seen").alias("seen")).filter("seen").select("key", "listed")
+
+
+def build_cascade(universe: DataFrame) -> list[Level]:
+    """Levels over a universe of distinct keys (key, listed)."""
+    levels: list[Level] = []
+    while True:  # each level lets through a small part of the keys it must not
+        side = universe.filter(F.col("listed") == (len(levels) % 2 == 0))
         for i, level in enumerate(levels):
             if i % 2 != len(levels) % 2:  # what the last level lets through must be told from what it encodes
                 side = side.filter(level.has(F.col("key")))
         n = side.count()
         if not n and levels:
             return levels
+        if BITS_PER_KEY * n > 8 * MAX_BYTES:
+            raise TooLarge
         levels.append(Level.build(side, n, len(levels)))
-    raise ValueError("the cascade does not end: are keys null or not distinct?")
 
 
 def listed_by(levels: list[Level], key: Column) -> Column:
@@ -111,16 +127,19 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, labels: int =
     pages = pages.drop("host", "path", "rule", "verdict")
     d = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    universe = cut(d.select(domain_of(F.col("host"), labels).alias("key")).distinct())  # each level reads it
-    n_listed = listed.count()
-    parts = max(1, -(-n_listed * BITS_PER_KEY // (8 * MAX_BYTES)))
-    part = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    universe = cut(universe_of(d.select(domain_of(F.col("host"), labels).alias("key")), listed))  # each level reads it
+    part_of = lambda key, parts: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    parts, cascades = 1, None
+    while cascades is None:
+        try:
+            cascades = [build_cascade(universe if parts == 1 else universe.filter(part_of(F.col("key"), parts) == p)) for p in range(parts)]
+        except TooLarge:
+            parts *= 2
     judged = []
-    for p in range(parts):  # one part unless the list alone is larger than MAX_BYTES
-        own = (lambda f: f) if parts == 1 else (lambda f, p=p: f.filter(part(F.col("key")) == p))
-        levels = build_cascade(own(universe), own(listed))
-        rows = d if parts == 1 else d.filter(part(domain_of(F.col("host"), labels)) == p)
-        block = listed_by(levels, domain_of(F.col("host"), labels))
+    for p, levels in enumerate(cascades):
+        key = domain_of(F.col("host"), labels)
+        rows = d if parts == 1 else d.filter(part_of(key, parts) == p)
+        block = listed_by(levels, key)
         judged.append(rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(block, "block").otherwise("allow"))))
     out = judged[0]
     for x in judged[1:]:
@@ -128,9 +147,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, labels: int =
     return out
 
 
+def literal_keys(spark, keys) -> DataFrame:
+    """A column `key` of a few keys, as literals of the plan."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), literal_keys(spark, LISTED)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _rules_sql(column: int) -> str:
@@ -143,6 +166,6 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 p AS (
   SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
-k AS (SELECT *, array_to_string(string_split(host, '.')[-{LABELS}:], '.') AS key FROM p)
+k AS (SELECT *, array_to_string(string_split(regexp_extract(host, '{NAME}', 1), '.')[-{LABELS}:], '.') AS key FROM p)
 SELECT page_id, host, path, {_rules_sql(0)} AS rule,
   coalesce({_rules_sql(1)}, CASE WHEN key IN ({", ".join(f"'{x}'" for x in LISTED)}) THEN 'block' ELSE 'allow' END) AS verdict FROM k"""

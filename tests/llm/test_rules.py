@@ -218,7 +218,7 @@ def test_entropy_table_is_exact():
 def test_url_parts_and_rules(spark):
     urls = ["http://A.Example.ORG/es/x?q#f", "https://example.org/en/12", "x://org/", "//no/scheme", None, "", "http://m.site.com/fr/", "http://com/de/1", "http://site.net?x=://y/z", "HTTP://u@h.com:80/fr/a", "http://xorg/", "ftp://a.org", "http://é.com/de/\n2"]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    listed = spark.createDataFrame([("site.net",), ("site.com",)], "key string")
+    listed = U.literal_keys(spark, ["site.net", "site.com"])
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.filter_urls(df, listed, labels=2).collect()}
     assert got == {
         0: ("a.example.org", "/es/x", "example.org/es/", "block"), 1: ("example.org", "/en/12", "example.org/en/1", "block"), 2: ("org", "/", "org/", "allow"),
@@ -227,18 +227,30 @@ def test_url_parts_and_rules(spark):
     }
 
 
+def test_listed_domains_are_met_behind_user_names_and_ports(spark):
+    urls = ["http://a.site.net:8080/", "http://u:p@site.net/", "http://u@b.site.net:1/", "http://site.net./", "http://site.net:80.org/", "http://site.net@other.net/", "http://:80/", "http://[::1]:80/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[0]])], "page_id long, url string")
+    got = U.filter_urls(df, U.literal_keys(spark, ["site.net"]), rules=(), labels=2).orderBy("page_id").collect()
+    assert [r["verdict"] == "block" for r in got] == [True, True, True, True, False, False, False, False, True]
+    assert got[2]["host"] == "u@b.site.net:1" and got[0]["rule"] is None
+    plan = U.filter_urls(df, U.literal_keys(spark, ["site.net"]))._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    assert {r["verdict"] for r in U.filter_urls(df, U.literal_keys(spark, []), rules=()).collect()} == {"allow"}
+
+
 def test_cascade_is_exact_over_the_universe(spark, monkeypatch):
-    monkeypatch.setattr(U, "BITS_PER_KEY", 2)  # many false positives: many levels
+    monkeypatch.setattr(U, "BITS_PER_KEY", 3)  # many false positives: many levels
     monkeypatch.setattr(U, "MIN_BITS", 16)
-    universe = spark.range(3000).selectExpr("concat('k', id) AS key").cache()
-    listed = universe.filter("xxhash64(key) % 7 = 0")
-    levels = U.build_cascade(universe, listed)
-    assert len(levels) > 3
-    want = {r["key"] for r in listed.collect()}
-    got = {r["key"] for r in universe.filter(U.listed_by(levels, universe["key"])).collect()}
-    assert got == want and "Join" not in universe.filter(U.listed_by(levels, universe["key"]))._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(U, "MAX_BYTES", 40)  # a list in parts
-    pages = universe.selectExpr("key AS page_id", "concat('http://', key, '.net/') AS url")
-    got = U.filter_urls(pages, listed.selectExpr("concat(key, '.net') AS key"), labels=2).filter("verdict = 'block'").collect()
-    assert {r["page_id"] for r in got} == want
-    assert [x.data for x in U.build_cascade(universe.limit(0), listed.limit(0))] == [bytes(2)]
+    keys = spark.range(700).selectExpr("concat('k', id) AS key")
+    universe = U.universe_of(keys.unionAll(keys), keys.filter("xxhash64(key) % 7 = 0").unionAll(U.literal_keys(spark, ["never", "seen"]))).cache()
+    levels = U.build_cascade(universe)
+    assert len(levels) > 3 and universe.count() == 700
+    want = {r["key"] for r in universe.filter("listed").collect()}
+    assert 50 < len(want) < 300 and "never" not in want
+    assert {r["key"] for r in universe.filter(U.listed_by(levels, universe["key"])).collect()} == want
+    monkeypatch.setattr(U, "MAX_BYTES", max(len(x.data) for x in levels) - 1)  # a level too large: parts
+    pages = keys.selectExpr("key AS page_id", "concat('http://', key, '.net/') AS url")
+    got = U.filter_urls(pages, universe.filter("listed").selectExpr("concat(key, '.net') AS key"), labels=2)
+    assert "Union" in got._jdf.queryExecution().toString()
+    assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == want and got.count() == 700
+    assert [x.data for x in U.build_cascade(universe.limit(0))] == [bytes(2)]
