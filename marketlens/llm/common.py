@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -80,6 +81,18 @@ def slices(batches, rows: int):
             yield b.slice(at, rows)
 
 
+@contextmanager
+def uncollected():
+    """No collection passes inside: for millions of strings and tuples without cycles."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def give_back() -> None:
     """Return what a Python worker has freed to the system, for the tasks that follow in it."""
     gc.collect()

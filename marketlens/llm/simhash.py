@@ -12,7 +12,9 @@ Exact copies share a fingerprint and are one row from the start. A bucket gives
 its pairs: a breadth-first scan compares a linked fingerprint only with those of the bucket that are not linked yet, so
 a dense group costs about its size. What a bucket returns is at most a link for each of its fingerprints. Buckets are
 read in sorted order, eight bytes a fingerprint; components come from alternating large-star and small-star rounds over
-the links, each cut by a checkpoint.
+the links, each cut by a checkpoint, until nothing changes. Joins on a fingerprint, a node or a component count the rows
+of each key first: keys with more than one in HOT of all rows, fewer than HOT of them, are joined by broadcast, so that
+a text with a third of all rows as copies, or a component with a third of all fingerprints, is no task of its own.
 
 Defined results: a null or empty text, or one without words, has the fingerprint zero; a null doc_id takes part as text
 but is never a component's name (its component_id is the smallest id in reach, or null); repeated rows get equal
@@ -30,6 +32,8 @@ from .common import cut, importable
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: A key with more than one in so many of all rows is hot; there are fewer than so many.
+HOT = 1000
 #: Edges of a checkpoint file between rounds.
 EDGES_PER_FILE = 250_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -212,25 +216,27 @@ def links_of(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(_links(max_bits), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
-def _salted(edges: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
-    """edges joined with their node's least neighbour; a node with very many edges is dealt to `salts` tasks."""
-    edges = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return edges.join(least, ["u", "salt"])
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key with the number n of rows of left that have it, `total` in all."""
+    is_hot = F.col("n") * HOT > total
+    hot, cold = right.filter(is_hot).drop("n"), right.filter(~is_hot).drop("n")
+    hot = F.broadcast(hot)  # fewer than HOT rows, as their n sum to total at most
+    rest = left.join(hot.select(key), key, "left_anti").join(cold, key)
+    return left.join(hot, key).unionByName(rest)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): each linked node but the smallest of its component, which is its root."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     n = edges.count()
-    for _ in range(max_rounds):
+    while True:  # alternating stars settle in a number of rounds of the order of log^2 of the nodes
         # Large star: neighbours above a node go to its smallest neighbour (or to itself).
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _salted(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.filter("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: neighbours below a node, and the node, go to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _salted(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         new = cut(new.coalesce(1 + n // EDGES_PER_FILE))  # rounds never add edges
         before, n = n, new.count()
@@ -238,18 +244,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = new
         if same:
             return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id of each row of docs (doc_id, text)."""
     fps = cut(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    n_rows, n_classes = fps.count(), classes.count()
     found = components(links_of(classes, max_bits))
-    named = classes.join(found, classes["fp"] == found["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    named = cut(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = spread_join(named.select("fp", "root", "copies"), names, "root", n_classes).select("fp", "component_id", F.col("copies").alias("n"))
+    return spread_join(fps, by_fp, "fp", n_rows).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, broadcast_rows: int = 200_000) -> DataFrame:

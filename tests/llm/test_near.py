@@ -82,6 +82,23 @@ def test_components_equal_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 4)
+    left = spark.range(100).selectExpr("id AS doc_id", "CASE WHEN id < 60 THEN 0 ELSE id END AS fp")
+    right = left.groupBy("fp").agg({"*": "count"}).withColumnRenamed("count(1)", "n").withColumn("name", S.F.col("fp") * 10)
+    joined = S.spread_join(left, right, "fp", 100)
+    assert sorted((r["doc_id"], r["name"]) for r in joined.collect()) == [(i, 0 if i < 60 else 10 * i) for i in range(100)]
+    assert S.spread_join(left.limit(0), right.limit(0), "fp", 0).count() == 0
+    fps = planted(60)
+    texts = [(i, f"word{i} " * 3) for i in range(40)] + [(100 + i, "same text for all of these rows") for i in range(60)]
+    got = S.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == 100 and {r["component_id"] for r in got if r["doc_id"] >= 100} == {100}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    found = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in S.components(S.links_of(df)).collect()}
+    parts = brute_components(fps)
+    assert all((found.get(a, a) == found.get(b, b)) == (parts[i] == parts[j]) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]))
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     got = S.components(edges).collect()
@@ -143,3 +160,33 @@ def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     v = K.integer_vectors(df)
     assert [tuple(r) for r in K.top_k(v, v.filter("id = 0")).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
+
+
+def test_repeated_candidates_and_queries(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    v = K.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = K.top_k(v, v.filter("id = 0"), k=3).orderBy("rank").collect()  # the query is [1, 1], its first vector in order
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1 << 20), (1, 1 << 20), (2, 1 << 20)]
+
+
+def test_floors_drop_only_what_cannot_be_among_the_best():
+    r = np.random.default_rng(3)
+    v = r.integers(-1000, 1000, (5000, 24))
+    plain, bound = K.Search(np.arange(8), v[:8], 10), None
+    plain.add(np.arange(5000), v)
+    bound = K.Search(np.arange(8), v[:8], 10, np.array([x[-1] for x in plain.best_score]))
+    for at in range(0, 5000, 700):
+        bound.add(np.arange(at, min(at + 700, 5000)), v[at : at + 700])
+    assert [x.tolist() for x in plain.best_id] == [x.tolist() for x in bound.best_id]
+
+
+def test_memory_does_not_grow_with_the_queries_times_the_batch():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    v, q = r.integers(-1000, 1000, (K.BATCH, 16)), r.integers(-1000, 1000, (20_000, 16))
+    tracemalloc.start()
+    K.Search(np.arange(20_000) + 10**6, q, 2).add(np.arange(K.BATCH), v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # all products at once would be 1.3 GB
