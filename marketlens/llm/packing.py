@@ -16,7 +16,6 @@ repeated rows are pieces of their own; other columns are ignored; an empty table
 
 from __future__ import annotations
 
-import gc
 import os
 import string
 import zlib
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, give_back, slices
+from .common import cut, give_back, slices, uncollected
 
 CAPACITY = 1024
 END_ID = 2
@@ -111,23 +110,20 @@ class Ids:
         return out + self._block(block)
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        collecting = gc.isenabled()
-        gc.disable()  # millions of strings, no cycles
-        split = [[t] if self.unsafe.search(t) else t.split(" ") for t in texts]
-        heads = self.alone([pieces[0] for pieces in split])
-        for pieces in split:
-            del pieces[0]
-        known = self.known
-        distinct = set().union(*split)
-        self.know(distinct.difference(known))
-        get = known.__getitem__
-        out = [head + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
-        if len(known) + len(self.lines) + len(self.tails) > self.cache:
-            self.known = {p: known[p] for p in distinct}
-            self.lines, self.tails = {}, {}
-        if collecting:
-            gc.enable()
-        return out
+        with uncollected():
+            split = [[t] if self.unsafe.search(t) else t.split(" ") for t in texts]
+            heads = self.alone([pieces[0] for pieces in split])
+            for pieces in split:
+                del pieces[0]
+            known = self.known
+            distinct = set().union(*split)
+            self.know(distinct.difference(known))
+            get = known.__getitem__
+            out = [head + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
+            if len(known) + len(self.lines) + len(self.tails) > self.cache:
+                self.known = {p: known[p] for p in distinct}
+                self.lines, self.tails = {}, {}
+            return out
 
 
 _tokenizers: dict[str, Ids] = {}
@@ -221,23 +217,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int | No
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, broadcast_ranges: int = 500_000, **options) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32); pieces should be stored, as they
     are read three times."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = max(1, -(-max(counts.values(), default=0) // GROUP_ROWS), min(64, max(counts.values(), default=0) // 64))
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # The row's number deals equal rows to different groups; it is the same in each pass, as the pieces are stored.
+    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)))
     groups = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # At most capacity * salts groups: salts grows by one in GROUP_ROWS pieces.
     below = groups.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "base")
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = rows.withColumn("local", local.cast("long")).join(below, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("local"))
     places = plan(counts, capacity, **options)
-    if len(places) <= 500_000:  # ranges, a few for each length: bounded by the capacity, not by the rows
-        table = F.broadcast(spark.createDataFrame(places, "length long, low long, high long, each long, first long, base long"))
-    else:
-        table = spark.createDataFrame(places, "length long, low long, high long, each long, first long, base long")
+    table = spark.createDataFrame(places, "length long, low long, high long, each long, first long, base long")
+    if len(places) <= broadcast_ranges:  # a few for each length: bounded by the capacity, not by the rows
+        table = F.broadcast(table)
     ranked = ranked.drop("base", "local", "salt").withColumnRenamed("length", "n")
     p = ranked.join(table, (F.col("n") == F.col("length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     k = F.col("rank") - F.col("low")
