@@ -4,7 +4,7 @@ A page is read tag by tag into leaf blocks: runs of text between block-level tag
 features of a block are its ancestors' tags, the words of their class, id and role attributes that name page parts,
 words of its text that such parts say (SAYS), measures of its text (length, share of linked text, closing punctuation),
 whether its neighbours are sentences, and whether it stands in the core: the deepest element with CORE_PERCENT of the
-page's sentence words. A chain of two labels, main text or not, is fitted to labelled pages by the gradient of its
+page's sentence words (with it, whether the block is a sentence and the page names its main part). A chain of two labels, main text or not, is fitted to labelled pages by the gradient of its
 log-likelihood (forward-backward sums) and decoded by Viterbi. The blocks labelled main text are the result, in page
 order.
 
@@ -85,6 +85,8 @@ SHORT, SENTENCE = 25, 8
 #: The core holds so many percent of a page's sentence words; a page with fewer than CORE_WORDS of them shows none.
 CORE_PERCENT, CORE_WORDS = 60, 50
 #: Elements that hold one block only, as a rule.
+#: Features of pages that name their parts.
+TELLING = frozenset(("in:article", "in:main", "part:main"))
 LEAVES = frozenset("p li td th dt dd h1 h2 h3 h4 h5 h6 pre figcaption tr".split())
 
 
@@ -170,10 +172,15 @@ def blocks_of(html: str | None) -> list[tuple[str, frozenset[str]]]:
             mass.append(0)
     flush()
     first, last = _core(parents, tags, mass)
+    if all(first <= element <= last for _, _, _, element, _ in found):
+        first = 0  # nothing stands outside
+    telling = any(TELLING & owner for owner in {owner for _, owner, *_ in found})
     out = []
-    for i, (text, owner, own, element, _) in enumerate(found):
-        if first:
-            own.add("core" if first <= element <= last else "outside")
+    for i, (text, owner, own, element, sentence) in enumerate(found):
+        place = ("core" if first <= element <= last else "outside") if first else "page"
+        own.update((place, f"{place}:sentence" if sentence else f"{place}:short"))
+        if not telling:
+            own.add(f"plain:{place}:sentence" if sentence else f"plain:{place}:short")
         if i and found[i - 1][4]:
             own.add("after:sentence")
         if i + 1 < len(found) and found[i + 1][4]:
@@ -416,7 +423,7 @@ def labelled_pages(n: int = 320, seed: int = 7) -> list[tuple[str, set[str]]]:
         nameless = r.random() < 0.33
         body, main = article()
         if r.random() < 0.2:
-            body += other(r.choice(("share", "comment", "advert", "side")))
+            body += other("share" if nameless else r.choice(("share", "comment", "advert", "side")))
         shell = "div" if nameless else r.choice(("article", "article", "article", "main", "div", "div", "section", "mixed", "bare"))
         if shell == "mixed":
             body = f"<main><article{attr('main')}>{body}</article></main>"
