@@ -3,22 +3,21 @@
 Fit: tokens of labelled documents (words in ASCII lower case without outer punctuation, and the beginnings of words)
 get the log-odds of standing in a toxic rather than a clean document, under a Dirichlet prior worth PRIOR_SHARE of the
 training documents (PRIOR_LEAST at least), spread as the tokens are in all of them. Tokens whose log-odds are Z standard
-deviations above zero score their lower bound, if that is LEAST_SCORE or more; a word scores its highest token, and
--DRIFT without one. Near copies (equal three-fold minimum hash of their words) train once.
+deviations above zero score their lower bound; a word scores its highest token, and -DRIFT without one. Near copies
+(equal two-fold minimum hash of their shingles of SHINGLE words) are counted once.
 
 Score: Ruzzo and Tompa's linear scan finds all maximal scoring segments of a whole text. Segment scores of clean texts
 follow an extreme-value law, P(max > x) = 1 - exp(-K n exp(-lambda x)); lambda solves E[exp(lambda s)] = 1 for the word
 scores of clean training documents, and K is fitted to their maxima. Segments with an expected count below
-SIGNIFICANT are the toxic passages; a document's evidence is -log of the p-value of the
-sum of its highest segment scores (for the best number of them), turned into a probability by a logistic fit on the
-training documents.
+SIGNIFICANT are the toxic passages; a document's evidence is -log of the p-value of the sum of its highest segment
+scores (for the best number of them, up to all), turned into a probability by a logistic fit on the training documents.
 
-At most MAX_TRAIN labelled rows are used (an even sample by hash beyond that) and at most MAX_TERMS words kept, the
-most certain first; both are model parameters. Every document is scored, over its whole text.
+At most MAX_TRAIN labelled rows are used (beyond that an even sample, the first by hash), a parameter; the tokens of the
+model are those of these rows, of which every significant one is kept. Every document is scored, over its whole text.
 
 Defined results: a null or empty text scores like a text without a scoring word; a null doc_id is not held out; without
 labels of both classes every document scores the (smoothed) share of toxic labels; repeated labels of a document count
-once (toxic if any says so); repeated rows get equal results; other columns are ignored.
+once (toxic if any says so); repeated rows get equal results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,15 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import give_back, importable, slices
+from .common import cut, discard, give_back, importable, slices, stored
 
-MAX_TRAIN, MAX_TERMS = 200_000, 200_000
+MAX_TRAIN = 200_000
+SHINGLE = 4
 PRIOR_SHARE, PRIOR_LEAST, Z, DRIFT = 0.1, 5.0, 4.0, 1.0
 SIGNIFICANT = 0.01
-#: Least score of a token: what is only a little commoner in toxic texts, like a language's articles, says nothing.
-LEAST_SCORE = 1.0
-#: Segments whose scores are summed at most.
-SUMMED = 12
 FOLDS = 5
 #: Bytes of the beginnings of words that are tokens of their own.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -122,10 +118,10 @@ class Model:
 
     def evidence(self, n: int, found) -> float:
         """-log of the chance that a clean text of n words has segments as high as these, by the sum statistic of its r
-        highest normalised scores, for the best r up to SUMMED; 0 without a segment."""
+        highest normalised scores, for the best r; 0 without a segment."""
         base = max(0.0, math.log(self.scale * max(n, 1)))
         best = total = 0.0
-        for r, score in enumerate(sorted((s for s, _, _ in found), reverse=True)[:SUMMED], 1):
+        for r, score in enumerate(sorted((s for s, _, _ in found), reverse=True), 1):
             total += self.rate * score - base
             if total <= 0:
                 break
@@ -145,21 +141,30 @@ def _train_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int)
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = own.count()
     if n > max_train:
-        share = int(1_000_000 * max_train / n)
-        own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < share).limit(max_train)
+        share = int(1_000_000 * min(1.0, 1.2 * max_train / n)) + 1
+        order = F.xxhash64("doc_id", F.lit("train"))
+        own = own.filter(F.pmod(order, F.lit(1_000_000)) < share).orderBy(order, "doc_id").limit(max_train)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
 
 
+def sketch(text: str | None) -> int:
+    """Two minima of hashes of a text's shingles, as one number."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.array(list(map(crc32, words)) or [0], np.uint64)
+    n = max(1, len(h) - SHINGLE + 1)
+    h = np.pad(h, (0, max(0, SHINGLE - len(h))))
+    mixed = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    x, y = ((mixed * np.uint64(m) >> np.uint64(16)).min().item() for m in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    return (x << 16 ^ y) % (1 << 63)
+
+
 def _sketch(batches):
-    """(doc_id, y, sketch): three minima of hashes of a document's words."""
-    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    for b in batches:
-        out = []
-        for t in b.column(1).to_pylist():
-            h = np.array(list(map(crc32, set((t or "").encode("utf-8", "surrogatepass").lower().split()))) or [0], np.uint64)
-            x, y, z = ((h * m >> np.uint64(22)).min().item() for m in odd)
-            out.append(x << 21 ^ y << 10 ^ z)  # minima of 42 bits are small: few collide
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.int64())], ["doc_id", "y", "sketch"])
+    """The rows with their sketch."""
+    for b in slices(batches, 1000):
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(sketch, b.column(1).to_pylist()), pa.int64())], ["doc_id", "text", "y", "sketch"])
 
 
 def _count(batches):
@@ -175,13 +180,13 @@ def _count(batches):
 
 
 def _segments(shared):
-    """Per training document its label, number of words and highest segment scores."""
+    """Per training document its label, number of words and segment scores, the highest first."""
 
     def run(batches):
         model = shared.value
         for b in batches:
             rows = [model.passages(t) for t in b.column(1).to_pylist()]
-            best = [sorted((s for s, _, _ in found), reverse=True)[:SUMMED] for _, found in rows]
+            best = [sorted((s for s, _, _ in found), reverse=True) for _, found in rows]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([n for n, _ in rows], pa.int64()), pa.array(best, pa.list_(pa.float64()))], ["y", "n", "best"])
         model.known = rows = best = None
         give_back()
@@ -227,14 +232,23 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 50) -> t
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     spark = docs.sparkSession
     importable(spark)
-    rows = _train_rows(docs, labels, label, max_train)
-    first = rows.mapInArrow(_sketch, "doc_id long, y int, sketch long").groupBy("sketch", "y").agg(F.min("doc_id").alias("doc_id"))
-    keep = F.broadcast(first.select("doc_id"))  # at most max_train ids
-    counts = rows.join(keep, "doc_id", "left_semi").select("doc_id", "text", "y").mapInArrow(_count, "word binary, toxic long, clean long")
+    train = _train_rows(docs, labels, label, max_train).select("doc_id", "text", "y")
+    train = stored(train.mapInArrow(_sketch, "doc_id long, text string, y int, sketch long"))  # read four times
+    try:
+        return _fit(spark, train)
+    finally:
+        discard(train)
+
+
+def _fit(spark, train: DataFrame) -> Model:
+    """A model of stored rows (doc_id, text, y, sketch)."""
+    keep = F.broadcast(train.groupBy("sketch", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))  # at most max_train ids
+    counts = train.join(keep, "doc_id", "left_semi").select("doc_id", "text", "y").mapInArrow(_count, "word binary, toxic long, clean long")
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = cut(counts.filter((F.col("t") >= 2) | (F.col("word") == F.lit(b""))))
     total = counts.filter(F.col("word") == F.lit(b"")).collect()
     n_t, n_c = (total[0]["t"], total[0]["c"]) if total else (0, 0)
     model = Model(bias=math.log((n_t + 0.5) / (n_c + 1.5)))
@@ -245,13 +259,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     a, b = F.col("t") + prior, F.col("c") + prior
     odds = F.log(a / (F.lit(n_t + strength) - a)) - F.log(b / (F.lit(n_c + strength) - b))
     sd = F.sqrt(1 / a + 1 / b)
-    terms = counts.filter((F.col("word") != F.lit(b"")) & (F.col("t") >= 2)).filter((a < n_t + strength) & (b < n_c + strength))
-    terms = terms.select("word", "c", odds.alias("odds"), sd.alias("sd"), b.alias("b")).filter((F.col("odds") > Z * F.col("sd")) & (F.col("odds") - F.col("sd") >= LEAST_SCORE))
-    got = terms.orderBy(F.desc(F.col("odds") / F.col("sd")), "word").limit(max_terms).collect()
+    terms = counts.filter(F.col("word") != F.lit(b"")).filter((a < n_t + strength) & (b < n_c + strength))
+    terms = terms.select("word", "c", odds.alias("odds"), sd.alias("sd"), b.alias("b")).filter(F.col("odds") > Z * F.col("sd"))
+    got = terms.orderBy("word").collect()  # tokens of at most max_train rows
     if not got:
         return model
     model.scores = {bytes(r["word"]): r["odds"] - r["sd"] for r in got}
-    train = rows.select("doc_id", "text", "y")
+    train = train.select("doc_id", "text", "y")
     # The law of word scores in clean documents: the share of documents that hold a word, over the words of a document.
     mean_n = train.filter("y = 0").select(F.avg(F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")))).collect()[0][0] or 1.0
     s = np.array([r["odds"] - r["sd"] for r in got])
@@ -259,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     p = np.minimum(p, 0.5 / len(p))
     model.rate = _positive_root(np.append(s, -DRIFT), np.append(p, 1 - p.sum()))
     shared = spark.sparkContext.broadcast(model)
-    seen = train.mapInArrow(_segments(shared), "y int, n long, best array<double>").persist()  # at most max_train rows of SUMMED numbers
+    seen = train.mapInArrow(_segments(shared), "y int, n long, best array<double>")
+    seen = cut(seen)
     # K from the mean of n * exp(-lambda * best) over clean documents with a segment: E[K n e^(-lambda max)] = 1 under the law.
     k = seen.filter("y = 0 AND size(best) > 0").select(F.avg(F.col("n") * F.exp(-model.rate * F.col("best")[0]))).collect()[0][0]
     model.scale = 1 / k if k else 1.0
