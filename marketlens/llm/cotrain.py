@@ -1,35 +1,48 @@
 """Quality classifier (operator 1): co-training of a text view and a page-metadata view.
 
 The text view sees measures of the whole text: shares of character classes and of their pairs, repeated and neighbouring
-words, line shapes. The metadata view sees what a crawl records of a page: language, source, length. Each is a logistic
-model on labelled documents. In each round a view labels those unlabelled documents of which it is most sure, and they
-train the other view from the next round on. At the end each view is calibrated (Platt) on labelled documents that
-trained neither, and the calibrated log-odds are combined by a logistic fit on the same documents. Every document is
-then scored over its whole text.
-
-Bounds, both parameters: at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, even samples by hash, train
-the models. Labels are taken only from documents whose crc32(doc_id as text) mod 5 is not 0; doc_id is no input.
+words, line shapes. The metadata view sees what a crawl records of a page: language, source, length in characters, bytes
+and lines. Each is a logistic model on labelled documents. In each round both views score every unlabelled document; the
+surest of each view by rank, a share of the corpus for each class (SHARE more each round), become labels that the other
+view is trained on from then on. A label weighs as much as its teacher's precision on such ranks exceeds the base rate,
+measured on labelled documents that trained neither view, so a view that knows little teaches little. At the end each
+view is calibrated (Platt) on the same documents, and the calibrated log-odds are combined by a logistic fit on them.
+Every document is then scored over its whole text.
+
+The text is read once; the rounds read its stored measures. The ranks come from counts in bins of log-odds over all
+unlabelled rows. Bounds, both parameters: a fit takes at most MAX_LABELLED labelled documents and MAX_TAUGHT rows that a
+view labelled in a class, even samples by hash, drawn anew each round. Labels are taken only from documents whose
+crc32(doc_id as text) mod 5 is not 0; doc_id is no input.
 
 Defined results: a null text counts as empty; null metadata is a value of its own; a null doc_id is scored and not held
-out; without labels of both classes every score is the (smoothed) share of good labels; repeated rows get equal
-results; other columns are ignored.
+out; repeated labels of a document count once (the lowest); of repeated rows of a labelled document one trains, and all
+get equal results; rows of equal log-odds fall in one bin, which is taken whole or not; without labels of both classes
+every score is the (smoothed) share of good labels; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import importable, slices
+from .common import importable, slices, stored
 from .toxicity import held_out
 
-MAX_LABELLED, MAX_POOL = 12_000, 12_000
-ROUNDS, SURE, SHARE = 4, 0.95, 0.1
-LANGS, SOURCES = 16, 64
+MAX_LABELLED, MAX_TAUGHT = 12_000, 3_000
+ROUNDS, SHARE = 4, 0.1
+#: Most weight of a taught label; a label that was given weighs 1.
+TAUGHT_WEIGHT = 0.5
+#: Bins of log-odds, from -30 to 30.
+BINS = 100
+#: Values of each kind of metadata, in this order: language, source, characters, bytes a character, lines, characters a
+#: line, whether the stated length is the text's; the last place is the constant.
+META = (16, 64, 48, 24, 24, 24, 3)
+META_WIDTH = sum(META) + 1
 #: Character classes: small letter, capital, digit, space, line feed, sentence mark, other mark, other.
 CLASSES = 8
 _TABLE = bytes(
@@ -52,13 +65,24 @@ def text_features(text: str | None) -> np.ndarray:
     return np.concatenate((np.sqrt(single), np.sqrt(pairs), rest, [1.0]))
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(LANGS + SOURCES + 12)
-    out[crc32(f"l{lang}".encode()) % LANGS] = 1
-    out[LANGS + crc32(f"s{source}".encode()) % SOURCES] = 1
-    size = -1 if n_chars is None else int(n_chars)
-    out[LANGS + SOURCES + min(10, max(size, 0).bit_length() // 2 + (size >= 0))] = 1
-    out[-1] = 1
+def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
+    """The places of the ones among META_WIDTH."""
+    text = text or ""
+    n, size, lines = len(text), len(text.encode("utf-8", "surrogatepass")), text.count("\n") + 1
+    values = (
+        crc32(f"l{lang}".encode()), crc32(f"s{source}".encode()), int(2 * np.log2(1 + max(n_chars or 0, 0))) if n_chars is not None else META[2] - 1,
+        int(8 * (size / max(n, 1) - 1)), lines.bit_length(), (n // lines).bit_length(), 0 if n_chars is None else 1 + (n_chars == n),
+    )
+    out, at = [], 0
+    for i, (v, width) in enumerate(zip(values, META, strict=True)):
+        out.append(at + (v % width if i < 2 else min(max(v, 0), width - 1)))
+        at += width
+    return [*out, at]
+
+
+def dense(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), META_WIDTH))
+    out[np.arange(len(places))[:, None], places] = 1
     return out
 
 
@@ -83,6 +107,11 @@ def _p(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
+def odds(text: np.ndarray, places: np.ndarray, models: list[np.ndarray]) -> list[np.ndarray]:
+    """Clipped log-odds of rows by the text and the metadata model."""
+    return [np.clip(text @ models[0], -30, 30), np.clip(models[1][places].sum(axis=1), -30, 30)]
+
+
 @dataclass
 class Model:
     text: np.ndarray
@@ -90,103 +119,228 @@ class Model:
     text_scale: np.ndarray  # Platt: slope and constant of a view's log-odds
     meta_scale: np.ndarray
     joint: np.ndarray  # weights of both calibrated log-odds and a constant
+    #: Of each round, by the teaching view: labels given (good, bad) and their weights.
+    given: list[dict] = field(default_factory=list, repr=False)
 
-    def scores(self, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores of the text view, the metadata view and both."""
-        zt, zm = (np.clip(x @ w, -30, 30) * s[0] + s[1] for x, w, s in ((xt, self.text, self.text_scale), (xm, self.meta, self.meta_scale)))
+        zt, zm = (z * s[0] + s[1] for z, s in zip(odds(text, places, [self.text, self.meta]), (self.text_scale, self.meta_scale), strict=True))
         both = np.stack((zt, zm, np.ones_like(zt)), 1)
         return 1 / (1 + np.exp(-np.clip(zt, -30, 30))), 1 / (1 + np.exp(-np.clip(zm, -30, 30))), _p(both, self.joint)
 
 
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit on labelled rows (xt, xm, y) and unlabelled (ut, um); every fifth labelled row calibrates and trains nothing."""
+def bins_of(z: np.ndarray) -> np.ndarray:
+    return np.floor(z * BINS).astype(np.int64)
+
+
+def surest(counts: Counter, good: float, bad: float) -> tuple[int, int, int, int]:
+    """(bin from which rows are good, their number, bin up to which rows are bad, their number): the outermost whole bins
+    with at most that share of all rows, one bin at least; good and bad bins do not meet."""
+    total, bins = sum(counts.values()), sorted(counts)
+    high, n_high = bins[-1], counts[bins[-1]]
+    for b in reversed(bins[:-1]):
+        if n_high + counts[b] > good * total:
+            break
+        high, n_high = b, n_high + counts[b]
+    low, n_low = bins[0], counts[bins[0]]
+    for b in bins[1:]:
+        if n_low + counts[b] > bad * total or b >= high:
+            break
+        low, n_low = b, n_low + counts[b]
+    return (high, n_high, low, n_low) if low < high else (high, 0, high - 1, 0)  # one bin only: no row is surer than another
+
+
+def draw(doc_ids: list, text: np.ndarray, seed: str, share: float) -> np.ndarray:
+    """Which rows an even sample takes, by a hash of the row."""
+    return np.array([crc32(f"{seed}{i}".encode() + t.tobytes()) < share * 2**32 for i, t in zip(doc_ids, text, strict=True)], bool)
+
+
+def histogram(rows, models: list[np.ndarray]) -> list[Counter]:
+    """Rows in each bin, by view; rows: (doc_ids, text, places) arrays, float32 text."""
+    out = [Counter(), Counter()]
+    for _, text, places in rows:
+        for own, z in zip(out, odds(text, places, models), strict=True):
+            own.update(Counter(bins_of(z).tolist()))
+    return out
+
+
+def taught(rows, models: list[np.ndarray], cuts: list[tuple[int, int, int, int]], seed: str, most: int):
+    """(teaching view, label, row's text, row's places) of an even sample of each view's surest rows."""
+    for ids, text, places in rows:
+        for v, (z, (high, n_high, low, n_low)) in enumerate(zip(odds(text, places, models), cuts, strict=True)):
+            b = bins_of(z)
+            for label, own, n in ((1, b >= high, n_high), (0, b <= low, n_low)):
+                at = np.flatnonzero(own) if n else []
+                if len(at):
+                    at = at[draw([ids[i] for i in at], text[at], f"{seed}{v}{label}", most / n)]
+                yield from ((v, label, text[i], places[i]) for i in at)
+
+
+class Rows:
+    """Unlabelled rows in memory; `Stored` is the same over a frame."""
+
+    def __init__(self, doc_ids: list, text: np.ndarray, places: np.ndarray):
+        self.rows = [(doc_ids, text, places)]
+
+    def histogram(self, models):
+        return histogram(self.rows, models)
+
+    def taught(self, models, cuts, seed, most):
+        return list(taught(self.rows, models, cuts, seed, most))
+
+
+def _least_share(hits: float, n: int) -> float:
+    """A share one standard error below that of hits among n (Wilson)."""
+    p = hits / n
+    return (p + 0.5 / n - np.sqrt(p * (1 - p) / n + 0.25 / n / n)) / (1 + 1 / n)
+
+
+def _lift(z: np.ndarray, y: np.ndarray, good: float, bad: float) -> tuple[float, float]:
+    """How far the surest good and bad of labelled rows surely exceed the base rate: 0 as guessed, 1 all right."""
+    order, rate = np.argsort(-z, kind="stable"), y.mean()
+    n_top, n_bottom = max(1, int(good * len(z))), max(1, int(bad * len(z)))
+    top, bottom = _least_share(y[order[:n_top]].sum(), n_top), _least_share((1 - y[order[len(z) - n_bottom :]]).sum(), n_bottom)
+    lifts = (top - rate) / max(1 - rate, 1e-9), (bottom - (1 - rate)) / max(rate, 1e-9)
+    return tuple(float(max(0.0, x)) for x in lifts)
+
+
+def cotrain(text: np.ndarray, places: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS, max_taught: int = MAX_TAUGHT) -> Model:
+    """Fit on labelled rows and a pool of unlabelled ones; every fifth labelled row calibrates and trains nothing."""
     if len(set(y.tolist())) < 2:
         rate = (y.sum() + 0.5) / (len(y) + 2.0)
         const = np.array([0.0, 0.0, np.log(rate / (1 - rate))])
-        return Model(np.zeros(xt.shape[1]), np.zeros(xm.shape[1]), np.array([1.0, const[-1]]), np.array([1.0, const[-1]]), const)
+        return Model(np.zeros(text.shape[1]), np.zeros(META_WIDTH), np.array([1.0, const[-1]]), np.array([1.0, const[-1]]), const)
     calibrate = np.arange(len(y)) % 5 == 0
     if len(set(y[calibrate].tolist())) < 2 or len(set(y[~calibrate].tolist())) < 2:
         calibrate = np.ones(len(y), bool)  # too few rows to set some aside
         train = calibrate
     else:
         train = ~calibrate
-    views = [(xt, ut), (xm, um)]
-    taught: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, int), np.empty(0))] * 2  # pool rows and labels that each view was given
-    rate = y[train].mean()
-    models = [np.empty(0)] * 2
+    views = [text, dense(places)]
+    none = [(np.empty((0, x.shape[1])), np.empty(0), np.empty(0)) for x in views]  # rows, labels and weights that each view was taught
+    lessons, rate, given = none, y[train].mean(), []
     for r in range(rounds + 1):
-        for v, (x, u) in enumerate(views):
-            rows, labels = taught[v]
-            models[v] = logistic(np.concatenate((x[train], u[rows])), np.concatenate((y[train], labels)), np.concatenate((np.ones(train.sum()), np.full(len(rows), 0.5))))
-        if r == rounds or not len(ut):
+        models = [logistic(np.concatenate((x[train], rows)), np.concatenate((y[train], labels)), np.concatenate((np.ones(train.sum()), weights))) for x, (rows, labels, weights) in zip(views, lessons, strict=True)]
+        if r == rounds:
             break
-        for v, (_, u) in enumerate(views):
-            p = _p(u, models[v])
-            most = max(1, int(SHARE * (r + 1) * len(u)))
-            good = np.argsort(-p, kind="stable")[: int(most * rate) + 1]
-            bad = np.argsort(p, kind="stable")[: int(most * (1 - rate)) + 1]
-            rows = np.concatenate((good[p[good] >= SURE], bad[p[bad] <= 1 - SURE]))
-            taught[1 - v] = (rows, (p[rows] >= 0.5).astype(float))
+        counts = pool.histogram(models)
+        if not counts[0]:
+            break
+        share = SHARE * (r + 1)
+        good, bad = share * rate, share * (1 - rate)
+        cuts = [surest(c, good, bad) for c in counts]
+        lifts = [_lift(z, y[calibrate], good, bad) for z in odds(text[calibrate], places[calibrate], models)]
+        found = pool.taught(models, cuts, f"{r}:", max_taught)
+        lessons = list(none)
+        for v in (0, 1):  # the teaching view
+            own = [(label, t, p) for w, label, t, p in found if w == v]
+            if own:
+                rows = np.array([t for _, t, _ in own], float) if v else dense(np.array([p for _, _, p in own]))
+                labels = np.array([label for label, _, _ in own], float)
+                lessons[1 - v] = (rows, labels, TAUGHT_WEIGHT * np.where(labels == 1, *lifts[v]) ** 2)
+        given.append({name: {"labels": (cut[1], cut[3]), "weights": lift} for name, cut, lift in zip(("text", "meta"), cuts, lifts, strict=True)})
     one = np.ones(calibrate.sum())
-    z = [np.clip(x[calibrate] @ m, -30, 30) for (x, _), m in zip(views, models, strict=True)]
+    z = odds(text[calibrate], places[calibrate], models)
     scales = [logistic(np.stack((a, one), 1), y[calibrate], penalty=1e-2) for a in z]
     both = np.stack([a * s[0] + s[1] for a, s in zip(z, scales, strict=True)] + [one], 1)
-    return Model(models[0], models[1], scales[0], scales[1], logistic(both, y[calibrate], penalty=1e-2))
+    joint = logistic(both, y[calibrate], penalty=0.1)
+    if joint[:2].min() < 0:  # a view that speaks against itself beside the other adds nothing
+        both[:, joint[:2].argmin()] = 0
+        joint = logistic(both, y[calibrate], penalty=0.1)
+    return Model(models[0], models[1], scales[0], scales[1], joint, given)
+
+
+MEASURED = "doc_id long, text array<float>, places array<short>"
 
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, text, places: the measures of both views of every row of docs; store them, as they are read often."""
 
+    def run(batches):
+        for b in slices(batches, 1000):
+            texts = b.column(1).to_pylist()
+            measures = [text_features(t).astype(np.float32) for t in texts]
+            places = [meta_features(*x) for x in zip(texts, *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(measures, pa.list_(pa.float32())), pa.array(places, pa.list_(pa.int16()))], ["doc_id", "text", "places"])
 
-def _rows(docs: DataFrame) -> DataFrame:
+    importable(docs.sparkSession)
     kinds = {"doc_id": "long", "n_chars": "long"}
-    return docs.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
+    return docs.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", "text", "lang", "source", "n_chars"))).mapInArrow(run, MEASURED)
 
 
-def _features(b, at: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    text, lang, source, n = (b.column(at + i).to_pylist() for i in range(4))
-    return np.array([text_features(t) for t in text]), np.array([meta_features(*x) for x in zip(lang, source, n, strict=True)])
+def _arrays(batches):
+    """(doc_ids, text, places) of batches of measured rows."""
+    for b in batches:
+        if b.num_rows:
+            lists = [b.column(i).flatten().to_numpy().reshape(b.num_rows, -1) for i in (1, 2)]
+            yield b.column(0).to_pylist(), *lists
 
 
-def _measure(batches):
-    for b in slices(batches, 1000):
-        xt, xm = _features(b)
-        lists = [pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())) for x in (xt, xm)]
-        yield pa.RecordBatch.from_arrays([b.column(5), *lists], ["y", "xt", "xm"])
+class Stored:
+    """Measured unlabelled rows as a frame: each question is one pass over all of them."""
 
+    def __init__(self, measured: DataFrame):
+        self.measured = measured
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    importable(docs.sparkSession)
+    def histogram(self, models):
+        shared = self.measured.sparkSession.sparkContext.broadcast(models)
+
+        def run(batches):
+            counts = histogram(_arrays(batches), shared.value)
+            for v, own in enumerate(counts):
+                bins = list(own)
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(bins), pa.int32()), pa.array(bins, pa.int64()), pa.array([own[b] for b in bins], pa.int64())], ["view", "bin", "n"])
+
+        out = [Counter(), Counter()]
+        for r in self.measured.mapInArrow(run, "view int, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():  # at most 12,002 rows
+            out[r["view"]][r["bin"]] = r["n"]
+        return out
+
+    def taught(self, models, cuts, seed, most):
+        shared = self.measured.sparkSession.sparkContext.broadcast(models)
+
+        def run(batches):
+            for rows in _arrays(batches):
+                found = list(taught([rows], shared.value, cuts, seed, most))
+                if found:
+                    v, label, text, places = zip(*found, strict=True)
+                    order = [crc32(f"{seed}{a}{b}".encode() + t.tobytes()) for a, b, t in zip(v, label, text, strict=True)]
+                    columns = [pa.array(v, pa.int32()), pa.array(label, pa.int32()), pa.array(order, pa.int64()), pa.array(list(text), pa.list_(pa.float32())), pa.array(list(places), pa.list_(pa.int16()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["view", "label", "at", "text", "places"])
+
+        rows = self.measured.mapInArrow(run, "view int, label int, at long, text array<float>, places array<short>")
+        got = rows.orderBy("view", "label", "at", "text", "places").limit(8 * most).collect()  # about 4 * most rows; equal rows without an id are drawn together
+        return [(r["view"], r["label"], np.array(r["text"], np.float32), np.array(r["places"])) for r in got]
+
+
+def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_taught: int = MAX_TAUGHT) -> Model:
+    """A model of measured rows, of which `labels` (doc_id, label) covers some."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     own = own.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
-    sample = own.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id").limit(max_labelled)
-    rows = _rows(docs)
-    n = rows.select("doc_id").count()
-    share = min(1_000_000, int(2_000_000 * max_pool / max(n, 1)) + 1)  # about twice the pool, then its first rows by hash
-    pool = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_000)) < share).select("doc_id").distinct()
-    pool = pool.join(own.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(max_pool)
-    chosen = sample.unionByName(pool.withColumn("y", F.lit(None).cast("double")))  # at most max_labelled + max_pool ids
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_measure, "y double, xt array<float>, xm array<float>").collect()
-    width = (len(text_features("")), len(meta_features(None, None, None)))
-    part = lambda rs: [np.array([r[c] for r in rs], float).reshape(len(rs), k) for c, k in zip(("xt", "xm"), width, strict=True)]
-    known, unknown = [r for r in got if r["y"] is not None], [r for r in got if r["y"] is None]
-    order = sorted(range(len(known)), key=lambda i: tuple(known[i]["xt"]))  # the same on any layout
-    mixed = np.random.default_rng(0).permutation(len(order))
-    known = [known[order[i]] for i in mixed]
-    return cotrain(*part(known), np.array([float(r["y"]) for r in known]), *part(unknown))
-
-
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, text_score, meta_score, score, predicted, kept of every row of docs."""
-    spark = docs.sparkSession
-    importable(spark)
+    order = F.xxhash64("doc_id", F.lit("labelled"))
+    share = int(1_000_000 * min(1.0, 1.2 * max_labelled / max(own.count(), 1))) + 1
+    sample = own.filter(F.pmod(order, F.lit(1_000_000)) < share).orderBy(order, "doc_id").limit(max_labelled)
+    chosen = F.broadcast(sample)  # at most max_labelled ids
+    known = measured.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "places")).alias("x")).collect()
+    pool = measured.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text", "places")
+    known.sort(key=lambda r: (r["x"]["text"], r["x"]["places"], r["y"]))  # the same on any layout
+    known = [known[i] for i in np.random.default_rng(0).permutation(len(known))]
+    text = np.array([r["x"]["text"] for r in known], float).reshape(len(known), len(text_features("")))
+    places = np.array([r["x"]["places"] for r in known], int).reshape(len(known), len(META) + 1)
+    return cotrain(text, places, np.array([float(r["y"]) for r in known]), Stored(pool), max_taught=max_taught)
+
+
+def classify(measured: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, text_score, meta_score, score, predicted, kept of every measured row."""
+    spark = measured.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, 1000):
-            scores = shared.value.scores(*_features(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s, pa.float64()) for s in scores)], ["doc_id", "text_score", "meta_score", "score"])
+        for ids, text, places in _arrays(batches):
+            scores = shared.value.scores(text, places)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(s, pa.float64()) for s in scores)], ["doc_id", "text_score", "meta_score", "score"])
 
-    out = _rows(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
+    out = measured.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
     good = F.col("score") >= 0.5
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "meta_score", "score", good.cast("int").alias("predicted"), good.alias("kept"))
 
@@ -194,5 +348,5 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    docs = table(spark, sf_dir, "documents")
-    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    measured = stored(measure(table(spark, sf_dir, "documents")))
+    return classify(measured, fit(measured, table(spark, sf_dir, "labels")))
