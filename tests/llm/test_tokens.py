@@ -126,6 +126,26 @@ def test_packing_of_repeated_rows(spark):
     assert len(rows) == 303 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 303
 
 
+def test_packing_plans_and_groups_give_one_result(spark, monkeypatch):
+    """A table of ranges too large to broadcast, groups of a few rows, and a limit on documents."""
+    texts = ["same words"] * 200 + [f"w{i} " * (i % 30) for i in range(200)]
+    df = spark.createDataFrame([(i if i >= 100 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pieces = packing.cut(packing.pieces_of(df, public_tokenizers.path("byte_bpe_50k.json"), 32))
+    counts = []
+    for limit, group in ((500_000, 100_000), (0, 100_000), (500_000, 7)):
+        monkeypatch.setattr(packing, "GROUP_ROWS", group)
+        rows = packing.pack(pieces, 32, broadcast_ranges=limit, max_docs=5).collect()
+        at, docs = {}, {}
+        for r in rows:
+            at.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in at.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+            assert sum(n for _, n in parts) <= 32 and len(parts) <= 5
+        counts.append((len(rows), len(at)))
+    assert len(set(counts)) == 1 and counts[0][0] == pieces.count()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 400), max_size=12), st.sampled_from(["norm", "dot"]), st.integers(1, 50), st.integers(300, 2500))
 def test_plan_holds_every_constraint(histogram, score, max_docs, max_cost):
