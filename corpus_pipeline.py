@@ -7,7 +7,7 @@ quality    rejects documents that fail the base or line-frequency rules; frequen
 toxicity   rejects documents scored 0.5 or more by a model fitted on the labels of the documents it gets
 near_dups  keeps the smallest doc_id of each near-duplicate component
 secrets    replaces every secret by a mark
-pack       packs the documents: one row a piece with its sequence and offset
+pack       packs the documents, at most MAX_DOCS a sequence: one row a piece with its sequence and offset
 
 Nulls, empty texts, repeated rows and empty tables have the results that the operators' modules define; an empty table
 runs through to an empty result. Columns other than those of documents do not pass.
@@ -22,6 +22,8 @@ from marketlens.llm import packing, quality_rules, secrets, simhash, toxicity
 from marketlens.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents of a packed sequence, each of which is a block of its attention mask.
+MAX_DOCS = 64
 #: Toxicity is a fitted model, which SQL cannot express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
@@ -49,7 +51,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000, keep=False)  # memory is left by earlier stages
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000, keep=False, max_docs=MAX_DOCS)  # memory is left by earlier stages
 
 
 STAGES = [("quality", quality), ("toxicity", toxic), ("near_dups", near_dups), ("secrets", secret), ("pack", pack)]
