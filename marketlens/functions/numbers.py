@@ -20,7 +20,16 @@ def count_if(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
+def digest(*parts: Column | str, salt: str = "") -> Column:
+    """The md5 of the parts and a salt: four uniforms."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(p if isinstance(p, Column) else F.col(p).cast("string"), F.lit("")) for p in parts), F.lit(salt)))
+
+
+def uniform_of(md5: Column, which: int = 0) -> Column:
+    """The uniform in [0, 1) of the which-th 32 bits of a digest, 0 to 3."""
+    return F.conv(F.substring(md5, 8 * which + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
 def uniform(*parts: Column | str, salt: str = "") -> Column:
     """A deterministic uniform in [0, 1): 32 bits of the md5 of the parts and a salt. Equal in every SQL engine."""
-    text = F.concat_ws("|", *(F.coalesce(p if isinstance(p, Column) else F.col(p).cast("string"), F.lit("")) for p in parts), F.lit(salt))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return uniform_of(digest(*parts, salt=salt))

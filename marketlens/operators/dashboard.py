@@ -10,6 +10,20 @@ def top_counts(reports: DataFrame, column: str, within: list[str] | None = None,
     return kept.groupBy(column).agg(F.count("*").alias("n_records")).orderBy(F.desc("n_records"), column).limit(top)
 
 
+def price_statistics(statistics: DataFrame, within: list[str] | None = None, top: int = 50) -> DataFrame:
+    """The first commodities by name of what profile.price_statistics gives, of those chosen."""
+    kept = statistics if within is None else statistics.filter(F.col("commodity").isin(*within))
+    return kept.orderBy("commodity").limit(top)
+
+
+def live(scored: DataFrame, states: list[str] | None = None, commodities: list[str] | None = None) -> DataFrame:
+    """The scored rows of the chosen states and commodities; all without a choice."""
+    for column, chosen in (("state", states), ("commodity", commodities)):
+        if chosen:
+            scored = scored.filter(F.col(column).isin(*chosen))
+    return scored
+
+
 def stream_kpis(scored: DataFrame) -> DataFrame:
     """One row; the latest probability is that of the last row by time and entity. Scored: timestamp,
     anomaly_probability, anomaly_prediction and entity columns."""
@@ -21,6 +35,7 @@ def stream_kpis(scored: DataFrame) -> DataFrame:
 
 
 def top_anomalous(scored: DataFrame, column: str, top: int = 10) -> DataFrame:
+    """Commodities or markets by their number of anomalies."""
     return top_counts(scored.filter("anomaly_prediction = 1"), column, top=top)
 
 

@@ -13,6 +13,7 @@ from .. import schema as S
 from ..functions.numbers import uniform
 from ..functions.text import normalize_text, parse_date
 from ..operators import dashboard, features, labels, merge, metrics, ml, outliers, profile, quality, synth
+from ..session import work_folder
 from ..streaming import events, scoring
 from . import pipelines
 from .fixture import market_report, with_market
@@ -62,7 +63,7 @@ def survivors(spark, d):
 
 def marked(spark, d):
     f = flagged(spark, d)
-    return outliers.flag_outliers(quality.dedup_survivors(f), outliers.learn_bounds(f))
+    return outliers.flag_outliers(quality.dedup_survivors(f), outliers.learn_bounds(f, exact=True))
 
 
 def canonical(spark, d):
@@ -160,7 +161,7 @@ BOUNDS = "p25, p75, median, n_valid, iqr, bound_type, lower_bound, upper_bound"
 
 @query("outlier_bounds", f"SELECT commodity, {BOUNDS} FROM bounds")
 def _(spark, d):
-    return outliers.learn_bounds(flagged(spark, d))
+    return outliers.learn_bounds(flagged(spark, d), exact=True)
 
 
 @query("outlier_bounds_approx")
@@ -185,7 +186,7 @@ def _(spark, d):
 
 @query("preprocess_pipeline", f"SELECT source_dataset, {KEY}, grade, {MONEY}, quality_flag, price_outlier, year(arrival_date)::INTEGER AS year FROM marked WHERE arrival_date IS NOT NULL")
 def _(spark, d):
-    out = pipelines.preprocess(market_report(spark, d)).filter("arrival_date IS NOT NULL")
+    out = pipelines.preprocess(market_report(spark, d), exact=True).filter("arrival_date IS NOT NULL")
     return out.select("source_dataset", *S.JOIN_KEY, "grade", "min_price", "max_price", "modal_price", "quality_flag", "price_outlier", "year")
 
 
@@ -382,7 +383,7 @@ def _(spark, d):
 
 @query("seasonal_factors", "SELECT commodity, month, seasonal_factor, n_obs FROM seasonal")
 def _(spark, d):
-    return synth.seasonal_factors(flagged(spark, d))
+    return synth.seasonal_factors(flagged(spark, d), exact=True)
 
 
 @query("arrivals_model", "SELECT commodity, round(arr_log_mu, 6) AS arr_log_mu, round(arr_log_sigma, 6) AS arr_log_sigma, n_obs FROM arrivals")
@@ -409,14 +410,47 @@ def _(spark, d):
   FROM skeleton LEFT JOIN price_model USING (source_dataset, commodity, market) LEFT JOIN seasonal USING (commodity, month) LEFT JOIN arrivals USING (commodity) LEFT JOIN rates USING (source_dataset) GROUP BY ALL""")
 def _(spark, d):
     f = flagged(spark, d)
-    out = synth.enrich(synth.skeleton(f), synth.profile(f)).groupBy("source_dataset", "commodity", "market", "month")
+    out = synth.enrich(synth.skeleton(f), synth.profile(f, exact=True)).groupBy("source_dataset", "commodity", "market", "month")
     return rounded(out.agg(F.count("*").alias("n_rows"), *(F.max(c).alias(c) for c in ("log_mu", "seasonal_factor", "arr_log_mu", "rate_zero_max"))))
 
 
-@query("synthetic_workload")
+WORKLOAD_KEY = ["source_dataset", *S.DIMENSIONS, "year", "month"]
+
+
+def _workload() -> str:
+    """SQL of the generator, in the steps of its definition."""
+    text = " || '|' || ".join(f"coalesce({c}::VARCHAR, '')" for c in WORKLOAD_KEY)
+    digests = ", ".join(f"md5({text} || '|{synth.BASE_SEED}:{g}') AS h{g}" for g in range(-(-len(synth.EVERY) // 4)))
+    draws = ", ".join(f"('0x' || substr(h{i // 4}, {8 * (i % 4) + 1}, 8))::BIGINT / 4294967296.0::DOUBLE AS {d}" for i, d in enumerate(synth.EVERY))
+    normal = lambda u: f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u})) * cos(2.0::DOUBLE * pi() * {u}_2))"
+    sql = lambda x: f"{x!r}::DOUBLE"
+    price = f"exp(coalesce(log_mu, {sql(synth.DEFAULT_MU)}) + coalesce(log_sigma, {sql(synth.DEFAULT_SIGMA)}) * {normal('u_price')})"
+    (spike, wide), (drop, deep) = synth.SPIKE, synth.DROP
+    return f"""
+WITH star AS (
+  SELECT * FROM skeleton LEFT JOIN (SELECT * EXCLUDE (n_obs) FROM price_model) USING (source_dataset, commodity, market) LEFT JOIN (SELECT * EXCLUDE (n_obs) FROM seasonal) USING (commodity, month)
+    LEFT JOIN (SELECT * EXCLUDE (n_obs) FROM arrivals) USING (commodity) LEFT JOIN (SELECT * EXCLUDE (n_total) FROM rates) USING (source_dataset)),
+drawn AS (SELECT *, {draws} FROM (SELECT *, {digests} FROM star)),
+priced AS (SELECT *, u_anomaly < {sql(synth.ANOMALY_RATE)} AS odd, {price} * coalesce(seasonal_factor, 1) * (1 + 0.05::DOUBLE * {normal('u_noise')}) AS p FROM drawn),
+modal AS (
+  SELECT *, round(greatest(CASE WHEN NOT odd THEN p WHEN u_kind < 0.5 THEN p * ({sql(spike)} + {sql(wide)} * u_size) ELSE p * ({sql(drop)} + {sql(deep)} * u_size) END, {sql(synth.FLOOR_PRICE)}), 2) AS m,
+    coalesce(spread_ratio, {sql(synth.SPREAD[0])}) / 2 AS half, coalesce(rate_zero_min_max, 0) AS zero, coalesce(rate_zero_min_max, 0) + coalesce(rate_zero_max, 0) AS zero_max,
+    coalesce(rate_zero_min_max, 0) + coalesce(rate_zero_max, 0) + coalesce(rate_missing_price, 0) AS missing, make_date(year, month, 1) AS first FROM priced),
+made AS (
+  SELECT state, district, market, commodity, variety, grade, (first + CAST(floor(u_day * day(last_day(first))) AS INTEGER))::DATE AS arrival_date,
+    CASE WHEN u_defect < zero THEN 0 ELSE round(m / (1 + half * u_low), 2) END AS min_price, CASE WHEN u_defect < zero_max THEN 0 ELSE round(m * (1 + half * u_high), 2) END AS max_price,
+    CASE WHEN u_defect >= zero_max AND u_defect < missing THEN 0 ELSE m END AS modal_price,
+    CASE WHEN source_dataset = '{S.MANDI}' THEN round(exp(coalesce(arr_log_mu, 0) + coalesce(arr_log_sigma, {sql(synth.ARRIVAL_SIGMA[0])}) * {normal('u_arrivals')}), 2) END AS arrivals_tonnes,
+    commodity_group, source_dataset, 'synthetic_scaled' AS data_source, odd AS synthetic_injected_anomaly, year FROM modal)
+SELECT *, CASE WHEN modal_price IS NULL OR modal_price = 0 THEN 'MISSING_PRICE' WHEN min_price < 0 OR max_price < 0 OR modal_price < 0 THEN 'NEGATIVE_PRICE'
+  WHEN min_price = 0 AND max_price = 0 THEN 'ZERO_MIN_MAX' WHEN max_price = 0 THEN 'ZERO_MAX' WHEN min_price > max_price THEN 'MIN_GT_MAX'
+  WHEN modal_price < min_price OR modal_price > max_price THEN 'MODAL_OUTSIDE_RANGE' ELSE 'VALID' END AS quality_flag FROM made"""
+
+
+@query("synthetic_workload", f"SELECT * FROM ({_workload()})")
 def _(spark, d):
     f = flagged(spark, d)
-    return synth.generate(synth.enrich(synth.skeleton(f), synth.profile(f)), key=["source_dataset", *S.DIMENSIONS, "year", "month"])
+    return synth.generate(synth.enrich(synth.skeleton(f), synth.profile(f, exact=True)), key=WORKLOAD_KEY)
 
 
 @query("uniform_draws", f"SELECT DISTINCT state, district, market, commodity, variety, {U_ENTITY} AS u FROM market_report")
@@ -468,9 +502,7 @@ SPLIT = f"CASE WHEN year(arrival_date) < {VALIDATE} THEN 'train' WHEN year(arriv
 
 @query("temporal_split", f"SELECT {KEY}, {SPLIT} FROM target")
 def _(spark, d):
-    parts = labels.temporal_split(target(spark, d).select(*S.JOIN_KEY), VALIDATE, TEST)
-    named = [p.withColumn("split", F.lit(n)) for p, n in zip(parts, ("train", "validation", "test"), strict=True)]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return target(spark, d).select(*S.JOIN_KEY, labels.split_name(VALIDATE, TEST).alias("split"))
 
 
 @query("class_prevalence", f"SELECT split, count(*) AS n_records, count(*) FILTER (target_anomaly = 1) AS n_positive, count(*) FILTER (target_anomaly = 0) AS n_negative, round(100.0::DOUBLE * count(*) FILTER (target_anomaly = 1) / count(*), 4) AS positive_pct FROM (SELECT *, {SPLIT} FROM target) GROUP BY split")
@@ -483,7 +515,7 @@ def _(spark, d):
     return labels.sampling_fractions(target(spark, d), (10.0, 50.0, 100.0))
 
 
-@query("entity_sample_checksum", f"SELECT count(*) AS n_entities, md5(string_agg(state || '|' || district || '|' || market || '|' || commodity || '|' || variety, chr(10) ORDER BY state, district, market, commodity, variety)) AS checksum FROM (SELECT DISTINCT state, district, market, commodity, variety FROM market_report WHERE {U_ENTITY} < 0.1)")
+@query("entity_sample_checksum", f"SELECT sum(n)::BIGINT AS n_entities, md5(string_agg(p, '' ORDER BY part)) AS checksum FROM (SELECT substr(h, 1, 3) AS part, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS p FROM (SELECT DISTINCT md5(state || '|' || district || '|' || market || '|' || commodity || '|' || variety) AS h FROM market_report WHERE {U_ENTITY} < 0.1) GROUP BY 1)")
 def _(spark, d):
     return labels.sample_checksum(profile.entity_catalog(labels.entity_sample(market_report(spark, d), 100.0)))
 
@@ -560,6 +592,22 @@ def _(spark, d):
     return settled(out.select(*S.ENTITY, F.to_date("arrival_date").alias("arrival_date"), *STREAMED), *STREAMED)
 
 
+def _zscore_share(rows: DataFrame) -> DataFrame:
+    share = F.least(F.abs(F.coalesce("z_score", F.lit(0.0))) / 4, F.lit(1.0)).alias("anomaly_probability")
+    out = settled(rows.select("*", share), "anomaly_probability")
+    return out.withColumn("anomaly_prediction", (F.col("anomaly_probability") >= 0.5).cast("int"))
+
+
+@query("stream_scored_sink", f"SELECT *, (anomaly_probability >= 0.5)::INTEGER AS anomaly_prediction FROM (SELECT {KEY}, modal_price, floor(least(abs(coalesce(z_score, 0)) / 4, 1) * 10000 + 0.5003::DOUBLE) / 10000 AS anomaly_probability FROM featured)")
+def _(spark, d):
+    """Events as files, a file stream, keyed state, scores and the Parquet sink, until the stream is at its end."""
+    folder = work_folder(spark)
+    events.write_events(events.to_json(canonical(spark, d)), f"{folder}/in", files=8)
+    stream = events.usable(events.from_json(events.read_files(spark, f"{folder}/in", max_files=1000)))
+    out = scoring.run_to_end(stream, _zscore_share, f"{folder}/out", f"{folder}/state")
+    return out.select(*S.ENTITY, F.to_date("arrival_date").alias("arrival_date"), "modal_price", "anomaly_probability", "anomaly_prediction")
+
+
 # Dashboard
 
 
@@ -580,3 +628,22 @@ def _(spark, d):
 @query("dash_recent_alerts", f"SELECT {KEY}, timestamp, modal_price, anomaly_probability, anomaly_prediction FROM stream_scored WHERE anomaly_prediction = 1 ORDER BY timestamp DESC, state, district, market, commodity, variety LIMIT 50")
 def _(spark, d):
     return dashboard.recent_alerts(stream_scored(spark, d))
+
+
+@query("dash_top_anomalous_markets", "SELECT market, count(*) AS n_records FROM stream_scored WHERE anomaly_prediction = 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return dashboard.top_anomalous(stream_scored(spark, d), "market")
+
+
+CHOSEN = {"states": ["ASIA", "EUROPE"], "commodities": ["ECONOMY", "PROMO"]}
+IN_STATES, IN_COMMODITIES = (f"('{"', '".join(x)}')" for x in CHOSEN.values())
+
+
+@query("dash_price_statistics", f"SELECT commodity, count(*) AS n_records, round(avg(modal_price), 4) AS avg_modal_price, max(modal_price) AS highest_modal_price FROM market_report WHERE commodity IN {IN_COMMODITIES} GROUP BY commodity ORDER BY commodity LIMIT 50")
+def _(spark, d):
+    return dashboard.price_statistics(profile.price_statistics(market_report(spark, d)), CHOSEN["commodities"]).select("commodity", "n_records", "avg_modal_price", "highest_modal_price")
+
+
+@query("dash_filtered", f"SELECT state, count(*) AS n_records FROM stream_scored WHERE anomaly_prediction = 1 AND state IN {IN_STATES} GROUP BY 1")
+def _(spark, d):
+    return dashboard.top_anomalous(dashboard.live(stream_scored(spark, d), states=CHOSEN["states"]), "state")

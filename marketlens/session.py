@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +27,16 @@ def session(app: str = "marketlens", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder for files between jobs: the checkpoint folder of the cluster, or on a single machine one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="work-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on a shared file system import this package; elsewhere ship it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

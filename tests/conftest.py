@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 import warnings
 
 import pytest
@@ -15,7 +16,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-")).config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     env = s.sparkContext.environment
