@@ -1,5 +1,7 @@
 """The pipeline against a brute-force version of its decisions."""
 
+import random
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -8,6 +10,7 @@ from test_near import brute_components, brute_fingerprint  # noqa: E402
 from test_tokens import check_packing  # noqa: E402
 
 from marketlens.llm import toxicity as X  # noqa: E402
+from marketlens.llm.secrets import ALPHABET  # noqa: E402
 
 
 def test_stages_keep_the_right_documents(spark, sf, duck, tmp_path):
@@ -69,3 +72,34 @@ def test_empty_and_odd_documents(spark, sf):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_repeated_rows_and_clashing_columns_reach_every_stage(spark, sf):
+    """Copies under one id and under others, a very long candidate, and columns named like the operators' own."""
+    r = random.Random(2)
+    prose = lambda k: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(k))
+    one, other, long = prose(300), prose(300), prose(200) + " " + "".join(r.choice(ALPHABET) for _ in range(300_000)) + " " + prose(200)
+    rows = [(5, one), (5, one), (6, one), (7, other), (None, one), (8, other + " token=abcdefgh12345"), (9, long), (10, "x " * 300_000)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), 1.5, 2, "a", [3]) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, fp int, salt string, _all array<int>")
+    seen = {}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, sf).cache()
+        seen[name] = docs.collect()
+    ids = lambda name: sorted((x["doc_id"] for x in seen[name]), key=str)
+    assert ids("quality") == ids("toxicity") == sorted([5, 5, 6, 7, None, 8, 9], key=str)
+    assert ids("near_dups") == sorted([5, 7, None, 9], key=str) or ids("near_dups") == sorted([5, 7, 8, None, 9], key=str)
+    texts = {x["doc_id"]: x["text"] for x in seen["secrets"]}
+    assert "[SECRET]" in texts[9] and len(texts[9]) < 4000 and texts[5] == one
+    assert sorted({x["doc_id"] for x in seen["pack"]}, key=str) == ids("near_dups")
+
+
+def test_stages_delete_what_no_later_one_reads(spark, sf):
+    import os
+
+    from marketlens.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = {f for f in os.listdir(os.path.dirname(folder)) if f.endswith(".parquet")} | {f for f in os.listdir(folder) if f.endswith(".parquet")}
+    P.run(spark, sf).count()
+    after = {f for f in os.listdir(os.path.dirname(folder)) if f.endswith(".parquet")} | {f for f in os.listdir(folder) if f.endswith(".parquet")}
+    assert len(after - before) == 1
