@@ -1,24 +1,27 @@
 """Byte-level BPE encoding and decoding (operator 4): corpus-level merge replay.
 
-A task takes a block of documents, gathers the distinct words of the block that it has not met yet, and replays the
-merges over all of them at once: an inverted index leads from a token pair to the places (word, token) where it stands,
-a heap gives the pairs in rank order, and a merge touches only its two neighbours in the index. If a merge makes a pair
-of lower rank than the one in hand, the rest of that word waits until the lower one is done, so that every word comes
-out as if it were encoded alone. Ids of words are kept for later blocks in a bounded cache; a document's ids are those
-of its words. Nothing is shuffled: memory is a block plus the cache, and a lost task is simply run again.
+The pieces of the whole corpus (what stands between spaces) are counted in one aggregation. The frequent ones, at most
+HEAD of them by a level of their counts, are dealt to tasks, and each task replays the merges over all words of its
+pieces at once: an inverted index leads from a token pair to the places (word, token) where it stands, a heap gives the
+pairs in rank order, and a merge touches only its two neighbours in the index. If a merge makes a pair of lower rank
+than the one in hand, the rest of that word waits until the lower one is done, so that every word comes out as if it
+were encoded alone. This table, whose size is bounded by HEAD and PIECE_CHARS, goes to every task that encodes
+documents. Pieces beyond it, which a corpus of any size holds few times each, are replayed in the same way by the block
+of documents that has them, and kept for later blocks in a bounded cache. A document's ids are those of its words. Only
+distinct pieces are shuffled; memory is a block, the table and the cache, and a lost task is simply run again.
 
 Texts are cut before each space that does not stand between white space; no match of the pattern crosses such a cut, so
 a piece always gives the same matches. Texts with other runs of white space around a space are matched whole.
 
 Defined results: a null text counts as empty; an empty text has no ids (n_tokens 0, hashes of the empty string);
-repeated rows get equal results; other columns are ignored.
+repeated rows get equal results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
+import uuid
 from heapq import heappop, heappush
 
 import numpy as np
@@ -26,10 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import cut, importable, slices, uncollected
 
-#: Pieces, and words, kept by a Python worker; beyond that only those of the last block stay.
-CACHE = 500_000
+#: Pieces beyond the table, and words, kept by a Python worker; beyond that only those of the last block stay.
+CACHE = 250_000
+#: Pieces of the table, with so many characters each at most; pieces met fewer than LEAST times are never in it.
+HEAD, PIECE_CHARS, LEAST = 400_000, 64, 8
 #: Characters of a block of documents.
 BLOCK = 12_000_000
 UNSAFE = regex.compile(r"\s \s|\s $")
@@ -145,15 +150,21 @@ class Replay:
         return out
 
 
+_replays: dict[str, Replay] = {}
+
+
 class Encoder:
     """Ids of whole texts. What a piece of text gives is (number of ids, " id id ...", decoded bytes)."""
 
-    def __init__(self, path: str, pattern: str):
-        self.replay = Replay(read_ranks(path))
+    def __init__(self, path: str, pattern: str, head: dict[str, tuple[int, str, bytes]] | None = None):
+        if path not in _replays:
+            _replays[path] = Replay(read_ranks(path))
+        self.replay = _replays[path]
+        self.head = head or {}
         self.text = [f" {i}" for i in range(len(self.replay.tokens))]
         self.find = regex.compile(pattern).findall
         self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.known: dict[str, tuple[int, str, bytes]] = {}  # by what follows a space
+        self.known = dict(self.head)  # by what follows a space
 
     def learn(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
         """What pieces give; their words go to the cache."""
@@ -183,25 +194,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by one space, decoded bytes) of each text."""
         out = []
-        collecting = gc.isenabled()
-        gc.disable()  # millions of strings and tuples, no cycles
-        for block in blocks(texts):  # the distinct new words of a block are encoded together
-            split = [[t] if UNSAFE.search(t) else t.split(" ") for t in block]
-            heads = self.learn([pieces[0] for pieces in split])
-            for pieces in split:
-                del pieces[0]
-            known = self.known
-            distinct = set().union(*split)
-            new = list(distinct.difference(known))
-            known.update(zip(new, self.learn([" " + p for p in new]), strict=True))
-            get = known.__getitem__
-            for head, pieces in zip(heads, split, strict=True):
-                n, ids, decoded = zip(head, *map(get, pieces), strict=True)
-                out.append((sum(n), "".join(ids)[1:], b"".join(decoded)))
-            if len(known) > CACHE:
-                self.known = {p: known[p] for p in distinct}
-        if collecting:
-            gc.enable()
+        with uncollected():
+            for block in blocks(texts):  # the distinct new words of a block are encoded together
+                split = [[t] if UNSAFE.search(t) else t.split(" ") for t in block]
+                heads = self.learn([pieces[0] for pieces in split])
+                for pieces in split:
+                    del pieces[0]
+                known = self.known
+                distinct = set().union(*split)
+                new = list(distinct.difference(known))
+                known.update(zip(new, self.learn([" " + p for p in new]), strict=True))
+                get = known.__getitem__
+                for first, pieces in zip(heads, split, strict=True):
+                    n, ids, decoded = zip(first, *map(get, pieces), strict=True)
+                    out.append((sum(n), "".join(ids)[1:], b"".join(decoded)))
+                if len(known) > len(self.head) + CACHE:
+                    self.known = self.head | {p: known[p] for p in distinct}
         return out
 
 
@@ -219,21 +227,56 @@ def blocks(texts: list[str]):
         yield own
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
+
 
+def encoder(path: str, pattern: str, name: str = "", head=None) -> Encoder:
+    """One a Python worker and table (by its name), kept between its tasks. head: a broadcast table."""
+    if (path, pattern, name) not in _encoders:
+        _encoders.clear()
+        columns = [c.to_pylist() for c in head.value.columns] if head is not None else [[]] * 4
+        with uncollected():
+            own = dict(zip(columns[0], zip(*columns[1:], strict=True), strict=True))
+        _encoders[path, pattern, name] = Encoder(path, pattern, own)
+    return _encoders[path, pattern, name]
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """One a Python worker, kept between its tasks."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
 
+def frequent_pieces(docs: DataFrame, most: int = HEAD, least: int = LEAST) -> DataFrame:
+    """piece: the pieces that stand most often in the corpus, at most `most`; all whose counts are of one level (a
+    quarter of a power of two) or none."""
+    pieces = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), " ")).alias("piece")).filter(F.length("piece") <= PIECE_CHARS)
+    counts = pieces.groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    levels = cut(counts.select("piece", F.floor(4 * F.log2("n")).alias("level")))
+    from_level, total = 1 << 62, 0
+    for r in levels.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # at most 256 rows
+        total += r["n"]
+        if total > most:
+            break
+        from_level = r["level"]
+    return levels.filter(F.col("level") >= from_level).select("piece")
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
+
+def replayed(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
+    """piece, n, ids, decoded of what a space and a piece give; each task replays all its pieces at once."""
+
+    def run(batches):
+        own = [p for b in batches for p in b.column(0).to_pylist()]  # at most HEAD pieces of PIECE_CHARS
+        if own:
+            n, ids, decoded = zip(*encoder(path, pattern).learn([" " + p for p in own]), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())], ["piece", "n", "ids", "decoded"])
+
+    return pieces.repartition("piece").mapInArrow(run, "piece string, n long, ids string, decoded binary")
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False, head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text); with `ids` the ids too."""
+    spark = docs.sparkSession
+    importable(spark)
+    table = replayed(frequent_pieces(docs, head), path, pattern).toArrow()  # at most `head` pieces
+    shared, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches):
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, name, shared)
         for b in slices(batches, 4000):
             n, ids_sha, decoded_sha, own = [], [], [], []
             for count, joined, decoded in enc.encode(b.column(1).to_pylist()):
@@ -255,7 +298,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import importable, table
+    from .common import table
 
-    importable(spark)
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -75,6 +75,30 @@ def test_encode_documents(spark, tiktoken_encoding):
     assert bpe.encode_documents(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_the_corpus_table_changes_nothing(spark, tiktoken_encoding, monkeypatch):
+    """Pieces replayed once for the corpus, none of them, and some; ties at the limit go together."""
+    r = random.Random(4)
+    words = ["alpha", "beta,", "gamma\nDelta", "don't", "x", "", "日本"] + [f"w{i}" for i in range(50)]
+    texts = TEXTS + [" ".join(r.choice(words[: r.randint(1, len(words))]) for _ in range(r.randint(0, 60))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    want = {i: tiktoken_encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    counts = {}
+    for t in texts:
+        for p in (t or "").split(" "):
+            counts[p] = counts.get(p, 0) + 1
+    sizes = []
+    for head in (bpe.HEAD, 12, 0):
+        got = {x["piece"] for x in bpe.frequent_pieces(df, head).collect()}
+        sizes.append(len(got))
+        assert len(got) <= head and all(counts[p] >= bpe.LEAST for p in got)
+        assert not got or min(counts[p] for p in got) > max([n for p, n in counts.items() if p not in got and n >= bpe.LEAST], default=0)
+        assert {x["doc_id"]: x["ids"] for x in bpe.encode_documents(df, path, public_tokenizers.PATTERN, ids=True, head=head).collect()} == want
+    assert sizes[0] == sum(n >= bpe.LEAST and len(p) <= bpe.PIECE_CHARS for p, n in counts.items()) > sizes[1] >= sizes[2] == 0
+    table = bpe.replayed(spark.createDataFrame([("alpha",), ("",), ("a\nb",)], "piece string"), path, public_tokenizers.PATTERN).collect()
+    assert all(x["ids"].split() == list(map(str, tiktoken_encoding.encode_ordinary(" " + x["piece"]))) and x["decoded"] == (" " + x["piece"]).encode() for x in table)
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
