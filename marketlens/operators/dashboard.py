@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..sources import sinks
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a job or a stream has written at a path so far; no rows if nothing."""
+    return spark.read.schema(schema).parquet(path) if sinks.size_of(spark, path) else spark.createDataFrame([], schema)
 
 
 def top_counts(reports: DataFrame, column: str, within: list[str] | None = None, top: int = 10) -> DataFrame:

@@ -86,6 +86,23 @@ def test_dashboard_filters(spark):
     assert [r[1] for r in dashboard.price_statistics(stats, ["c070", "c007"]).collect()] == [7, 70]
 
 
+def test_dashboard_loads_what_is_there(spark, tmp_path):
+    path = str(tmp_path / "d")
+    assert dashboard.load(spark, path, "state string, n_records long").count() == 0
+    spark.createDataFrame([("a", 3, 1.0)], "state string, n_records long, more double").write.parquet(path)
+    got = dashboard.load(spark, path, "state string, n_records long")
+    assert got.columns == ["state", "n_records"] and [tuple(r) for r in got.collect()] == [("a", 3)]
+
+
+def test_poisson_sample_draws_with_replacement(spark):
+    rows = spark.range(0, 20_000, 1, 4)
+    drawn = labels.poisson_sample(rows, 0.5, 42).groupBy("id").count().cache()
+    total = drawn.agg(F.sum("count")).first()[0]
+    assert abs(total - 10_000) < 5 * 100 and drawn.filter("count > 1").count() > 1000  # 1 - 1.5 exp(-1/2) of the rows: 1,804
+    assert labels.poisson_sample(rows, 0.5, 42).agg(F.sum("id")).first() == labels.poisson_sample(rows, 0.5, 42).agg(F.sum("id")).first()
+    assert labels.poisson_sample(rows, 0.5, 43).agg(F.sum("id")).first() != labels.poisson_sample(rows, 0.5, 42).agg(F.sum("id")).first()
+
+
 def test_hash_sample_keeps_entities_whole(spark):
     df = spark.range(2000).select(*(F.concat(F.lit(c[0]), F.col("id") % 100).alias(c) for c in S.ENTITY))
     got = {r["count"] for r in df.filter(labels.in_sample(300.0, hash_only=True)).groupBy(*S.ENTITY).count().collect()}
