@@ -86,6 +86,7 @@ SHORT, SENTENCE = 25, 8
 CORE_PERCENT, CORE_WORDS = 60, 50
 #: Elements that hold one block only, as a rule.
 #: Features of pages that name their parts.
+HEADS = frozenset(("in:h1", "in:h2"))
 TELLING = frozenset(("in:article", "in:main", "part:main"))
 LEAVES = frozenset("p li td th dt dd h1 h2 h3 h4 h5 h6 pre figcaption tr".split())
 
@@ -187,6 +188,10 @@ def blocks_of(html: str | None) -> list[tuple[str, frozenset[str]]]:
             own.add("before:sentence")
         if not i:
             own.add("first")
+        if i + 1 == len(found):
+            own.add("last")
+        if "in:header" in owner and "in:article" in owner:
+            own.add("header:h" if owner & HEADS else "header:article")
         out.append((text, owner | own))
     return out
 
@@ -363,11 +368,11 @@ def labelled_pages(n: int = 320, seed: int = 7) -> list[tuple[str, set[str]]]:
             "menu": lambda: links(r.randint(3, 8)) if tag != "ul" else "".join(f"<li>{link(1, 2)}</li>" for _ in range(5)),
             "header": lambda: f"<h1>{words(1, 4, part)}</h1>" * r.randint(0, 1) + f"<p>{words(3, 9, part)}</p>" + (links(3) if r.random() < 0.4 else ""),
             "footer": lambda: r.choice((f"&copy; {words(1, 3)} &middot; {words(2, 6, part)}.", f"<p>&copy; {words(2, 6, part)}</p>" + links(3, part), f"<p>{sentence(4, 12, part)}</p>")),
-            "side": lambda: f"<h3>{words(1, 3, part)}</h3>" + r.choice((links(4, ""), f"<p>{sentence(8, 30, part)}</p>")),
+            "side": lambda: f"<{(h := r.choice(('h2', 'h3', 'h4')))}>{words(1, 3, part)}</{h}>" + r.choice((links(4, ""), f"<p>{sentence(8, 30, part)}</p>")),
             "notice": lambda: r.choice((f"<p>{sentence(6, 25, part)}</p>", sentence(6, 20, part))) + f"<button>{words(1, 2, part)}</button>" * r.randint(0, 1),
             "advert": lambda: r.choice((sentence(3, 12, part), f"<p>{sentence(4, 20, part)}</p>", link(3, 8, part))),
             "form": lambda: f'<label>{words(1, 2, part)}</label><input name="q"><p>{words(2, 5, part)}</p><button>{words(1, 1, part)}</button>',
-            "comment": lambda: f"<h3>{words(1, 3, part)}</h3>" * r.randint(0, 1) + "".join(r.choice((f"<p>{sentence(5, 40)}</p>", f"<div><b>{words(1, 2)}</b> {words(1, 3, part)}<p>{sentence(5, 40)}</p></div>", f"<li>{sentence(5, 30)}</li>")) for _ in range(r.randint(1, 4))),
+            "comment": lambda: f"<{(h := r.choice(('h2', 'h3', 'h4')))}>{words(1, 4, part)}</{h}>" * r.randint(0, 1) + "".join(r.choice((f"<p>{sentence(5, 40)}</p>", f"<div><b>{words(1, 2)}</b> {words(1, 3, part)}<p>{sentence(5, 40)}</p></div>", f"<li>{sentence(5, 30)}</li>")) for _ in range(r.randint(1, 4))),
             "share": lambda: r.choice((links(3, part), f"<span>{words(1, 4, part)}</span>", f"<p>{words(2, 5, part)}</p>")),
         }[part]()
         if part == "form" and not nameless:
@@ -385,7 +390,10 @@ def labelled_pages(n: int = 320, seed: int = 7) -> list[tuple[str, set[str]]]:
             html.append(f"<{tag}>{markup or text}" + ("" if tag == "p" and r.random() < 0.1 else f"</{tag}>"))
 
         if r.random() < 0.85:
+            headed = not nameless and r.random() < 0.2  # the article's own header, with a line about its author
+            html.append(f"<header{r.choice(('', attr('header'), ' class=entry-header'))}>" if headed else "")
             keep(r.choice(("h1", "h1", "h2")), words(3, 11))
+            html.append(f"<{(tag := r.choice(('div', 'p')))}{r.choice(('', attr('share')))}>{words(2, 5, 'share')}</{tag}></header>" if headed else "")
         short = not nameless and r.random() < 0.2
         for _ in range(r.randint(1, 3) if short else r.randint(1, 12)):
             kind = r.random()
@@ -431,6 +439,8 @@ def labelled_pages(n: int = 320, seed: int = 7) -> list[tuple[str, set[str]]]:
             body = f"<{shell}{attr('main') if shell in ('div', 'section') or r.random() < 0.3 else ''}>{body}</{shell}>"
         before = "".join(other(p) for p in ("notice", "header", "menu", "advert", "form", "side") if r.random() < 0.5)
         after = "".join(other(p) for p in ("share", "side", "advert", "comment", "form", "notice") if r.random() < 0.4) + (other("footer") if r.random() < 0.85 else "")
+        if shell == "bare" or r.random() < 0.05:
+            after += r.choice(("", f"<p>&copy; {words(1, 6, 'footer')}</p>", f"<p>Copyright {words(1, 4, 'footer')}.</p>", f"<table><tr><td>&copy; {words(1, 4)}</td></tr></table>"))
         if r.random() < 0.3:
             body = f"<div>{body}</div>" if nameless else f"<div id='wrap'>{body}</div>"
         pages.append((f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{}}</style></head><body>{before}{body}{after}</body></html>", main))
