@@ -208,8 +208,16 @@ def _core(parents: list[int], tags: list[str], mass: list[int]) -> tuple[int, in
     return core, last[core]
 
 
-@lru_cache(20_000)
 def _tag_features(tag: str, attrs: str) -> frozenset[str]:
+    return _short_tag_features(tag, attrs) if len(attrs) <= 500 else _features_of(tag, attrs)  # long ones are not kept
+
+
+@lru_cache(20_000)
+def _short_tag_features(tag: str, attrs: str) -> frozenset[str]:
+    return _features_of(tag, attrs)
+
+
+def _features_of(tag: str, attrs: str) -> frozenset[str]:
     got = {f"in:{tag}"} if tag in PART_TAGS else set()
     for value in ATTRIBUTE.findall(attrs):
         for w in WORD.findall("".join(value)):
