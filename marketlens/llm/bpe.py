@@ -33,7 +33,7 @@ from .common import cut, importable, slices, uncollected
 
 #: Pieces beyond the table, and words, kept by a Python worker; beyond that only those of the last block stay.
 CACHE = 250_000
-#: Pieces of the table, with so many characters each at most; pieces met fewer than LEAST times are never in it.
+#: Pieces of the table; pieces met fewer than LEAST times are never in it. Longer pieces than PIECE_CHARS are not kept.
 HEAD, PIECE_CHARS, LEAST = 400_000, 64, 8
 #: Characters of a block of documents.
 BLOCK = 12_000_000
@@ -187,8 +187,11 @@ class Encoder:
                 n, t, d = words[w]
                 got = (got[0] + n, got[1] + t, got[2] + d)
             out.append(got)
+        for w in new:
+            if len(w) > PIECE_CHARS:
+                del words[w]
         if len(words) > CACHE:
-            self.words = {w: words[w] for w in distinct}
+            self.words = {w: words[w] for w in distinct if w in words}
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
@@ -208,8 +211,11 @@ class Encoder:
                 for first, pieces in zip(heads, split, strict=True):
                     n, ids, decoded = zip(first, *map(get, pieces), strict=True)
                     out.append((sum(n), "".join(ids)[1:], b"".join(decoded)))
+                for p in new:
+                    if len(p) > PIECE_CHARS:
+                        del known[p]
                 if len(known) > len(self.head) + CACHE:
-                    self.known = self.head | {p: known[p] for p in distinct}
+                    self.known = self.head | {p: known[p] for p in distinct if p in known}
         return out
 
 

@@ -31,6 +31,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of text kept by a Python worker; beyond that only those of the last block stay.
 CACHE = 1_200_000
+#: Longer pieces are not kept.
+PIECE_CHARS = 64
 BLOCK = 12_000_000
 MARKS = string.punctuation
 GROUP_ROWS = 100_000
@@ -60,6 +62,7 @@ class Ids:
         self.known: dict[str, bytes] = {}  # by what follows a space
         self.lines: dict[str, bytes] = {}  # by what follows a line feed
         self.tails: dict[str, bytes] = {}  # by the marks that end a word
+        self.long: list[tuple[dict, str]] = []  # what a block puts in these that is too long to stay
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,11 +92,14 @@ class Ids:
         new.difference_update(p for p, _, _ in marked)
         new.update(x for _, x, _ in marked if x not in known)
         known.update(self.learn(list(new)))
+        self.long = [(known, p) for own in (new, (p for p, _ in lined), (p for p, _, _ in marked)) for p in own if len(p) > PIECE_CHARS]
         unseen = list({m for _, _, m in marked}.difference(tails))
         tails.update(zip(unseen, self.alone(unseen), strict=True))
         for p, word, mark in marked:
             known[p] = known[word] + tails[mark]
-        lines.update(self.learn(list({q for _, x in lined for q in x[1:]}.difference(lines)), "\n"))
+        after = {q for _, x in lined for q in x[1:]}.difference(lines)
+        lines.update(self.learn(list(after), "\n"))
+        self.long += [(kept, p) for kept, own in ((lines, after), (tails, unseen)) for p in own if len(p) > PIECE_CHARS]
         for p, x in lined:
             known[p] = known[x[0]] + b"".join([lines[q] for q in x[1:]])
 
@@ -120,8 +126,10 @@ class Ids:
             self.know(distinct.difference(known))
             get = known.__getitem__
             out = [head + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
+            for kept, p in self.long:
+                kept.pop(p, None)
             if len(known) + len(self.lines) + len(self.tails) > self.cache:
-                self.known = {p: known[p] for p in distinct}
+                self.known = {p: known[p] for p in distinct if p in known}
                 self.lines, self.tails = {}, {}
             return out
 

@@ -91,7 +91,9 @@ class Known(dict):
         self.scores = scores
 
     def __missing__(self, word: bytes) -> float:
-        got = self[word] = max(self.scores.get(t, 0.0) for t in tokens_of(word.strip(STRIP) or word))
+        got = max(self.scores.get(t, 0.0) for t in tokens_of(word.strip(STRIP) or word))
+        if len(word) <= 64:  # longer ones are not kept
+            self[word] = got
         return got
 
 

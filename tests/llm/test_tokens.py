@@ -99,6 +99,18 @@ def test_the_corpus_table_changes_nothing(spark, tiktoken_encoding, monkeypatch)
     assert all(x["ids"].split() == list(map(str, tiktoken_encoding.encode_ordinary(" " + x["piece"]))) and x["decoded"] == (" " + x["piece"]).encode() for x in table)
 
 
+def test_long_pieces_are_not_kept(encoder, tiktoken_encoding):
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(20_000)) + " x\n" + "y" * 5000 + "\n" + "z" * 300 + " " + "!" * 4000 + " w" + "?" * 200 for _ in range(5)]
+    same(encoder, tiktoken_encoding, texts)
+    same(encoder, tiktoken_encoding, texts)
+    assert all(len(p) <= bpe.PIECE_CHARS for kept in (encoder.words, encoder.known) for p in kept)
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [x[:-1].tolist() for x in library_ids(texts)]
+    assert all(len(p) <= packing.PIECE_CHARS for kept in (ids.known, ids.lines, ids.tails) for p in kept)
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
