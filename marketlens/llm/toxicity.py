@@ -38,6 +38,9 @@ MAX_TRAIN = 200_000
 SHINGLE = 4
 PRIOR_SHARE, PRIOR_LEAST, Z, DRIFT = 0.1, 5.0, 4.0, 1.0
 SIGNIFICANT = 0.01
+#: Least score of a token. What is only a little commoner in toxic texts, as the words around toxic ones are, becomes
+#: significant with enough labels; hundreds of such tokens make segments in every long clean text.
+LEAST_SCORE = 1.0
 FOLDS = 5
 #: Bytes of the beginnings of words that are tokens of their own.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -262,7 +265,7 @@ def _fit(spark, train: DataFrame) -> Model:
     odds = F.log(a / (F.lit(n_t + strength) - a)) - F.log(b / (F.lit(n_c + strength) - b))
     sd = F.sqrt(1 / a + 1 / b)
     terms = counts.filter(F.col("word") != F.lit(b"")).filter((a < n_t + strength) & (b < n_c + strength))
-    terms = terms.select("word", "c", odds.alias("odds"), sd.alias("sd"), b.alias("b")).filter(F.col("odds") > Z * F.col("sd"))
+    terms = terms.select("word", "c", odds.alias("odds"), sd.alias("sd"), b.alias("b")).filter((F.col("odds") > Z * F.col("sd")) & (F.col("odds") - F.col("sd") >= LEAST_SCORE))
     got = terms.orderBy("word").collect()  # tokens of at most max_train rows
     if not got:
         return model
