@@ -8,7 +8,9 @@ than the one in hand, the rest of that word waits until the lower one is done, s
 were encoded alone. This table, whose size is bounded by HEAD and PIECE_CHARS, goes to every task that encodes
 documents. Pieces beyond it, which a corpus of any size holds few times each, are replayed in the same way by the block
 of documents that has them, and kept for later blocks in a bounded cache. A document's ids are those of its words. Only
-distinct pieces are shuffled; memory is a block, the table and the cache, and a lost task is simply run again.
+distinct pieces are shuffled; memory is a block, the table and the cache, and a lost task is simply run again. With
+`head` 0 there is no table and nothing is shuffled: every piece is replayed by the blocks. The query does that, as the
+count of pieces and the table need more than 3,000 MB of an executor (README).
 
 Texts are cut before each space that does not stand between white space; no match of the pattern crosses such a cut, so
 a piece always gives the same matches. Texts with other runs of white space around a space are matched whole.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, importable, slices, uncollected
 
 #: Pieces beyond the table, and words, kept by a Python worker; beyond that only those of the last block stay.
-CACHE = 250_000
+CACHE = 500_000
 #: Pieces of the table; pieces met fewer than LEAST times are never in it. Longer pieces than PIECE_CHARS are not kept.
 HEAD, PIECE_CHARS, LEAST = 400_000, 64, 8
 #: Characters of a block of documents.
@@ -278,8 +280,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text); with `ids` the ids too."""
     spark = docs.sparkSession
     importable(spark)
-    table = replayed(frequent_pieces(docs, head), path, pattern).toArrow()  # at most `head` pieces
-    shared, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
+    shared, name = None, ""
+    if head:
+        table = replayed(frequent_pieces(docs, head), path, pattern).toArrow()  # at most `head` pieces
+        shared, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches):
         enc = encoder(path, pattern, name, shared)
@@ -306,4 +310,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     from .common import table
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, head=0)

@@ -110,6 +110,24 @@ def test_toxicity_of_long_and_repeated_texts(spark):
     assert few.scores == X.fit(d.repartition(5), lab, max_train=100).scores
 
 
+def test_words_around_toxic_ones_say_nothing(spark):
+    """Words that are only a little commoner in toxic texts become significant with many labels; clean long texts hold them too."""
+    r = random.Random(5)
+    mild, common, rows = [f"mild{i}" for i in range(150)], [f"w{i}" for i in range(400)], []
+    for i in range(2500):
+        y = int(r.random() < 0.15)
+        words = [r.choice(common) for _ in range(r.randint(100, 400))] + [m for m in mild if r.random() < (0.6 if y else 0.4)]
+        r.shuffle(words)
+        for _ in range(3 * y):
+            words.insert(r.randint(0, len(words)), r.choice(("vile", "nasty", "foul")))
+        rows.append((i, " ".join(words), y))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = X.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    got = {x["doc_id"]: x["predicted"] for x in X.score_documents(d, model).collect()}
+    out = [(got[i], y) for i, _, y in rows if crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([a == b for a, b in out]) > 0.98 and sum(a for a, b in out if b) > 0.95 * sum(b for _, b in out)
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = toxic_corpus(300)
     d = spark.createDataFrame(docs, "doc_id long, text string, x string")
