@@ -4,10 +4,11 @@ The text view sees measures of the whole text: shares of character classes and o
 words, line shapes. The metadata view sees what a crawl records of a page: language, source, length in characters, bytes
 and lines. Each is a logistic model on labelled documents. In each round both views score every unlabelled document; the
 surest of each view by rank, a share of the corpus for each class (SHARE more each round), become labels that the other
-view is trained on from then on. A label weighs as much as its teacher's precision on such ranks exceeds the base rate,
-measured on labelled documents that trained neither view, so a view that knows little teaches little. At the end each
-view is calibrated (Platt) on the same documents, and the calibrated log-odds are combined by a logistic fit on them.
-Every document is then scored over its whole text.
+view is trained on from then on. A label weighs by the square of how far its teacher's precision on such
+ranks, one standard error lower, exceeds the base rate, measured on labelled documents that trained neither view, so a
+view that knows little teaches little. Of each view the model of the round that fits these documents best is
+calibrated (Platt) on them, and the calibrated log-odds are combined by a logistic fit on them, without a view whose
+weight would be negative. Every document is then scored over its whole text.
 
 The text is read once; the rounds read its stored measures. The ranks come from counts in bins of log-odds over all
 unlabelled rows. Bounds, both parameters: a fit takes at most MAX_LABELLED labelled documents and MAX_TAUGHT rows that a
@@ -219,8 +220,12 @@ def cotrain(text: np.ndarray, places: np.ndarray, y: np.ndarray, pool, rounds: i
     views = [text, dense(places)]
     none = [(np.empty((0, x.shape[1])), np.empty(0), np.empty(0)) for x in views]  # rows, labels and weights that each view was taught
     lessons, rate, given = none, y[train].mean(), []
+    best = [(np.inf, np.empty(0))] * 2  # of each view the model of the round that fits the calibration rows best
     for r in range(rounds + 1):
         models = [logistic(np.concatenate((x[train], rows)), np.concatenate((y[train], labels)), np.concatenate((np.ones(train.sum()), weights))) for x, (rows, labels, weights) in zip(views, lessons, strict=True)]
+        for v, z in enumerate(odds(text[calibrate], places[calibrate], models)):
+            loss = float(np.logaddexp(0, np.where(y[calibrate] == 1, -z, z)).mean())
+            best[v] = min(best[v], (loss, models[v]), key=lambda x: x[0])
         if r == rounds:
             break
         counts = pool.histogram(models)
@@ -239,6 +244,7 @@ def cotrain(text: np.ndarray, places: np.ndarray, y: np.ndarray, pool, rounds: i
                 labels = np.array([label for label, _, _ in own], float)
                 lessons[1 - v] = (rows, labels, TAUGHT_WEIGHT * np.where(labels == 1, *lifts[v]) ** 2)
         given.append({name: {"labels": (cut[1], cut[3]), "weights": lift} for name, cut, lift in zip(("text", "meta"), cuts, lifts, strict=True)})
+    models = [m for _, m in best]
     one = np.ones(calibrate.sum())
     z = odds(text[calibrate], places[calibrate], models)
     scales = [logistic(np.stack((a, one), 1), y[calibrate], penalty=1e-2) for a in z]
