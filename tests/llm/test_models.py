@@ -67,6 +67,20 @@ def test_copies_count_once_and_other_texts_each():
     assert same > 250
 
 
+def test_the_logistic_fit_is_the_minimum_where_classes_are_all_but_apart():
+    """Clean documents with evidence up to 6, toxic ones from 7 on: full Newton steps never came back from there."""
+    for clean, toxic, n_clean, n_toxic in (((0, 6), (7, 200), 600, 10), ((0, 6), (7, 200), 64_000, 200), ((0, 6), (7, 30, 100, 200), 600, 200), ((0, 6, 9), (7, 30, 200), 64_000, 8000)):
+        x = np.array([*clean, *toxic], float)
+        y = np.array([0.0] * len(clean) + [1.0] * len(toxic))
+        n = np.array([n_clean] + [n_clean // 100] * (len(clean) - 1) + [n_toxic] * len(toxic), float)
+        weight, bias = X.logistic(x, y, n)
+        p = 1 / (1 + np.exp(-(weight * x + bias)))
+        assert abs(n @ (p - y)) < 1e-3 and abs((n * (p - y)) @ x + 1e-2 * weight) < 1e-3
+        assert weight > 0 and (p[x > 20] > 0.5).all() and (p[x < 5] < 0.5).all()
+        if max(clean) < min(toxic):
+            assert ((p >= 0.5) == (y == 1)).all()
+
+
 def toxic_corpus(n=900):
     r = random.Random(8)
     common, docs, labels = [f"w{i}" for i in range(300)], [], []
