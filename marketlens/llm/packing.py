@@ -22,10 +22,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, give_back, slices, uncollected
+from .common import cut, give_back, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,105 +34,169 @@ END_ID = 2
 CACHE = 1_200_000
 #: Longer pieces are not kept.
 PIECE_CHARS = 64
+#: Bytes of a block of texts; a longer text is a block of its own.
 BLOCK = 12_000_000
 MARKS = string.punctuation
+#: White space of Unicode, and what Python counts as such.
+BLANKS, WIDE_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f ", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: New pieces that the library gets as one text.
+RUN = 2000
 GROUP_ROWS = 100_000
 
 
 class Ids:
     """Little-endian unsigned 32-bit ids of whole texts, by the tokenizers library.
 
-    Its pre-tokeniser never joins characters over a space that does not stand between white space, so a text is cut
-    before such spaces, the library encodes each distinct piece once, and a text's ids are those of its pieces. New
-    pieces are encoded in long runs and told apart by the bytes their ids stand for.
+    A text is cut where the pre-tokeniser begins a match whatever stands around: before a space or a line feed between
+    two characters that are no white space, and between a letter and an ASCII mark. The library encodes each distinct
+    piece once, and a text's ids are those of its pieces. Cuts, distinct pieces and ids are columns of a block; only
+    what the library gets and gives is Python's.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.unsafe = regex.compile(r"\s \s|\s $")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character of the byte alphabet is a byte
         self.cache = CACHE
-        self.known: dict[str, bytes] = {}  # by what follows a space
-        self.lines: dict[str, bytes] = {}  # by what follows a line feed
-        self.tails: dict[str, bytes] = {}  # by the marks that end a word
-        self.long: list[tuple[dict, str]] = []  # what a block puts in these that is too long to stay
-
-    def alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str], lead: str = " ") -> dict[str, bytes]:
-        """Ids of lead + piece (a space or a line feed) for each piece."""
-        plain = [p for p in pieces if p and p.isprintable()]  # no white space in them: a piece has no spaces
-        other = [p for p in pieces if not p or not p.isprintable()]
-        out = dict(zip(other, self.alone([lead + p for p in other]), strict=True))
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            text = lead + lead.join(part) + lead
-            ids = np.array(self.tokenizer.encode_batch_fast([text[:-1]], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(lead))[1:]
-            stops = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")).tolist()
-            out.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        self.pieces = pa.array([], pa.large_string())  # those kept
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # the ids of piece k: ends[k] to ends[k + 1]
+
+    @property
+    def known(self) -> list[str]:
+        """Kept pieces that begin with a space."""
+        return [p for p in self.pieces.to_pylist() if p[0] == " "]
+
+    @property
+    def lines(self) -> list[str]:
+        """Kept pieces that begin with a line feed."""
+        return [p for p in self.pieces.to_pylist() if p[0] == "\n"]
+
+    @property
+    def tails(self) -> list[str]:
+        """Other kept pieces: marks that end a word, and beginnings of texts."""
+        return [p for p in self.pieces.to_pylist() if p[0] not in " \n"]
+
+    def learn(self, new: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces, and how many each has. Pieces that begin with a space or a line feed and hold no other
+        white space are encoded in long runs and told apart by the bytes their ids stand for."""
+        led = pc.match_substring_regex(new, LED)
+        ids, counts = [], np.zeros(len(new), np.int64)
+        run = new.filter(led)
+        data, bounds = _buffers(run)
+        stops = []
+        for at in range(0, len(run), RUN):
+            own = bounds[at : at + RUN + 1]
+            text = data[own[0] : own[-1]].tobytes().decode()
+            ids.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+            stops.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids[-1]]), own[1:] - own[0], side="right"), prepend=0))
+        led = led.to_numpy(zero_copy_only=False)
+        counts[led] = np.concatenate([np.zeros(0, np.int64), *stops])
+        alone = self.tokenizer.encode_batch_fast(new.filter(pa.array(~led)).to_pylist(), add_special_tokens=False)
+        ids += [np.array(e.ids, "<u4") for e in alone]
+        counts[~led] = [len(e.ids) for e in alone]
+        order = np.argsort(~led, kind="stable")  # of the ids: first the runs, then those alone
+        at = np.empty(len(new), np.int64)
+        at[order] = np.arange(len(new))
+        return _ragged(np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate(([0], np.cumsum(counts[order]))), at), counts
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "").cast(pa.large_string())
+        data, bounds = _buffers(column)
+        out: list[bytes] = []
+        at = 0
+        while at < len(column):
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, side="right")) - 1)
+            out += self._block(data[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at])
+            at = stop
         return out
 
-    def know(self, new: set[str]) -> None:
-        """Put new pieces in the cache. A piece of lines, or of letters and marks, is joined from its parts: a single
-        line feed between other characters, letters, and marks are matches of their own in the pre-tokeniser."""
-        known, lines, tails = self.known, self.lines, self.tails
-        lined = [(p, x) for p in new if "\n" in p and (x := p.split("\n")) and all(x) and all(map(str.isprintable, x))]
-        new.difference_update(p for p, _ in lined)
-        new.update(x[0] for _, x in lined if x[0] not in known)
-        marked = [(p, x, p[len(x) :]) for p in new if not p.isalpha() and (x := p.rstrip(MARKS)) != p and x.isalpha()]
-        new.difference_update(p for p, _, _ in marked)
-        new.update(x for _, x, _ in marked if x not in known)
-        known.update(self.learn(list(new)))
-        self.long = [(known, p) for own in (new, (p for p, _ in lined), (p for p, _, _ in marked)) for p in own if len(p) > PIECE_CHARS]
-        unseen = list({m for _, _, m in marked}.difference(tails))
-        tails.update(zip(unseen, self.alone(unseen), strict=True))
-        for p, word, mark in marked:
-            known[p] = known[word] + tails[mark]
-        after = {q for _, x in lined for q in x[1:]}.difference(lines)
-        lines.update(self.learn(list(after), "\n"))
-        self.long += [(kept, p) for kept, own in ((lines, after), (tails, unseen)) for p in own if len(p) > PIECE_CHARS]
-        for p, x in lined:
-            known[p] = known[x[0]] + b"".join([lines[q] for q in x[1:]])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        block: list[str] = []
-        size = 0
-        for t in texts:
-            block.append(t or "")
-            size += len(block[-1])
-            if size > BLOCK:
-                out += self._block(block)
-                block, size = [], 0
-        return out + self._block(block)
-
-    def _block(self, texts: list[str]) -> list[bytes]:
-        with uncollected():
-            split = [[t] if self.unsafe.search(t) else t.split(" ") for t in texts]
-            heads = self.alone([pieces[0] for pieces in split])
-            for pieces in split:
-                del pieces[0]
-            known = self.known
-            distinct = set().union(*split)
-            self.know(distinct.difference(known))
-            get = known.__getitem__
-            out = [head + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
-            for kept, p in self.long:
-                kept.pop(p, None)
-            if len(known) + len(self.lines) + len(self.tails) > self.cache:
-                self.known = {p: known[p] for p in distinct if p in known}
-                self.lines, self.tails = {}, {}
-            return out
+    def _block(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """data: the bytes of texts, one after another; bounds: where they begin, and the end of the last."""
+        starts = piece_starts(data, bounds)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+        coded = pa.chunked_array([self.pieces, pieces]).dictionary_encode().chunks  # kept pieces have their own numbers
+        codes = coded[-1].indices.to_numpy() if len(starts) else np.zeros(0, np.int32)
+        every = coded[-1].dictionary if coded else self.pieces
+        if len(every) > len(self.pieces):
+            ids, counts = self.learn(every.slice(len(self.pieces)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
+            self.ids = np.concatenate((self.ids, ids))
+        own = _ragged(self.ids, self.ends, codes)
+        ends = np.concatenate(([0], np.cumsum(np.diff(self.ends)[codes])))[np.searchsorted(starts, bounds)].tolist()
+        self._keep(every, codes)
+        return [own[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def _keep(self, every: pa.LargeStringArray, codes: np.ndarray) -> None:
+        """Keep pieces for later blocks: not the long ones, and beyond `cache` only those of this block."""
+        stay = np.ones(len(every), bool)
+        stay[len(self.pieces) :] = pc.utf8_length(every.slice(len(self.pieces))).to_numpy() <= PIECE_CHARS
+        if stay.sum() > self.cache:
+            stay &= np.bincount(codes, minlength=len(every)) > 0
+        if not stay.all():
+            at = np.flatnonzero(stay)
+            every = every.take(pa.array(at))
+            self.ids, self.ends = _ragged(self.ids, self.ends, at), np.concatenate(([0], np.cumsum(np.diff(self.ends)[at])))
+        self.pieces = every
+
+
+def _buffers(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls, and where its rows begin in them, with the end of the last."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _ragged(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The values of the given rows, one after another; row k has those from ends[k] to ends[k + 1]."""
+    first, size = ends[:-1][rows], np.diff(ends)[rows]
+    stops = np.cumsum(size)
+    at = np.repeat(first - stops + size, size)
+    at += np.arange(len(at))
+    return values[at]
+
+
+LEAD, MARK, LETTER, BLANK = 1, 2, 3, 4
+#: What a byte is: one of these, or 0.
+KINDS = bytes({**dict.fromkeys(BLANKS, BLANK), **dict.fromkeys(" \n", LEAD), **dict.fromkeys(MARKS, MARK), **dict.fromkeys(string.ascii_letters, LETTER)}.get(chr(i), 0) for i in range(256))
+#: White space beyond ASCII, by the two or three bytes of a character as one number.
+WIDE = [[int.from_bytes(c.encode()) for c in WIDE_BLANKS if len(c.encode()) == n] for n in (2, 3)]
+#: A lead and no other white space.
+LED = rf"\A[ \n][^{''.join(f'\\x{{{ord(c):x}}}' for c in BLANKS + WIDE_BLANKS)}]+\z"
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin; data and bounds as in Ids._block. A neighbour in another text decides nothing but
+    a cut before a space or a line feed that is a text's last character, which is right in either case."""
+    start = np.zeros(len(data) + 1, bool)
+    start[bounds] = True
+    own = b"".join((b"\0\0\0", data, b"\0\0\0"))
+    byte, kind = np.frombuffer(own, np.uint8), np.frombuffer(own.translate(KINDS), np.uint8)
+
+    at = np.flatnonzero(kind == LEAD)
+    for near in ((-1, -2, -3), (1, 2, 3)):  # the last bytes of the character before, the first bytes of that after
+        beside = kind[at + near[0]]
+        blank = (beside == LEAD) | (beside == BLANK)
+        far = np.flatnonzero(byte[at + near[0]] >= 0x80)
+        for k, wide in zip((2, 3), WIDE, strict=True):
+            character = sum(byte[at[far] + step].astype(np.int32) << 8 * (k - 1 - i) for i, step in enumerate(sorted(near[:k])))
+            blank[far] |= np.isin(character, wide)
+        at = at[~blank]
+    start[at - 3] = True
+    at = np.flatnonzero(kind == MARK)
+    lead, last = byte[at - 2], byte[at - 1]
+    # U+00C0 to U+017F and U+0400 to U+047F are letters but for the signs of times and division
+    wide = ((lead >= 0xC3) & (lead <= 0xC5) | (lead == 0xD0) | (lead == 0xD1)) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    start[at[(kind[at - 1] == LETTER) | (last >= 0x80) & wide] - 3] = True
+    return np.flatnonzero(start[:-1])
 
 
 _tokenizers: dict[str, Ids] = {}
@@ -157,7 +222,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         ids.cache = cache
         for b in slices(batches, rows):
             out: list[tuple] = []
-            for doc, own in zip(b.column(0).to_pylist(), ids.encode(b.column(1).to_pylist()), strict=True):
+            for doc, own in zip(b.column(0).to_pylist(), ids.encode(b.column(1)), strict=True):
                 own += end
                 n = len(own) // 4
                 start = 0

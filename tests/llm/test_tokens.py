@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -119,6 +120,51 @@ def library_ids(texts):
     return [np.array([*e.ids, packing.END_ID], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def same_ids(ids, texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [x[:-1].tolist() for x in library_ids(texts)]
+
+
+def test_packing_learns_words_and_marks_not_their_products():
+    """The library gets a word once whatever marks or words stand around it, and what is kept grows with words plus marks."""
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    words, marks = [f"{a}{b}é" for a in ("uno", "zwei", "trois") for b in "abcdefgh"], [".", ",", "!", ";", "?!", ")"]
+    texts = ["x " + " ".join(w + m for w in words for m in marks)]
+    same_ids(ids, texts)
+    assert len(ids.known) == len(words) and len(ids.tails) == len(marks) + 1  # and the beginning of the text
+    given, library = [], ids.tokenizer
+    ids.tokenizer = type("Seen", (), {"encode_batch_fast": lambda self, texts, **options: given.extend(texts) or library.encode_batch_fast(texts, **options)})()
+    same_ids(ids, texts * 2)
+    same_ids(ids, ["x " + " ".join(w + m for w in reversed(words) for m in reversed(marks))])
+    assert not given
+
+
+def test_packing_reads_a_sliced_column_with_nulls():
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["left out", "é, ü\nß", None, "", "a  b"]
+    for kind in (pa.string(), pa.large_string()):
+        assert ids.encode(pa.array(texts, kind).slice(1)) == ids.encode(texts[1:])
+    assert ids.encode(pa.array([], pa.string())) == ids.encode([]) == [] and ids.encode([None, ""]) == [b"", b""]
+    same_ids(ids, texts)
+
+
+CHARACTERS = ["a", "Z", "é", "ß", "×", "÷", "Ж", "҂", "日", "ª", "\u0301", "1", ".", "'", "'s", "'ll", "“", "😀", " ", " ", "\n", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "<|endoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def packing_ids():
+    return packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(CHARACTERS), max_size=30).map("".join) | st.text(max_size=20), max_size=8), st.sampled_from((1, 20, 10_000)), st.sampled_from((1, 30)))
+def test_packing_ids_of_any_text(packing_ids, texts, block, cache):
+    was, packing.BLOCK, packing_ids.cache = packing.BLOCK, block, cache
+    try:
+        same_ids(packing_ids, texts)
+    finally:
+        packing.BLOCK = was
+
+
 def check_packing(rows, texts, capacity):
     rows = [r.asDict() for r in rows]
     ids = library_ids(texts)
